@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, packing
+from . import bpe, packing, warc
 
 
 def queries() -> dict:
     return {
         "op5_bpe": bpe.op5_bpe,
+        "op9_warc": warc.op9_warc,
         "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_warc": warc.OP9_SQL,
+    }
