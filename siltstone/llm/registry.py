@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, warc
+from . import bpe, packing, quality, warc
 
 
 def queries() -> dict:
     return {
+        "op2_quality": quality.op2_quality,
         "op5_bpe": bpe.op5_bpe,
         "op9_warc": warc.op9_warc,
         "op10_packing": packing.op10_packing,
@@ -15,5 +16,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_quality": quality.OP2_SQL,
         "op9_warc": warc.OP9_SQL,
     }
