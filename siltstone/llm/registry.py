@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality, warc
+from . import bpe, packing, quality, simhash, warc
 
 
 def queries() -> dict:
     return {
         "op2_quality": quality.op2_quality,
         "op5_bpe": bpe.op5_bpe,
+        "op6_simhash": simhash.op6_simhash,
         "op9_warc": warc.op9_warc,
         "op10_packing": packing.op10_packing,
     }
