@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality, simhash, warc
+from . import bpe, packing, quality, simhash, substring, warc
 
 
 def queries() -> dict:
     return {
+        "op1_substring": substring.op1_substring,
         "op2_quality": quality.op2_quality,
         "op5_bpe": bpe.op5_bpe,
         "op6_simhash": simhash.op6_simhash,
@@ -17,6 +18,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_substring": substring.OP1_SQL,
         "op2_quality": quality.OP2_SQL,
         "op9_warc": warc.OP9_SQL,
     }
