@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality, simhash, substring, warc
+from . import bpe, language, neighbours, packing, quality, simhash, substring, warc
 
 
 def queries() -> dict:
     return {
         "op1_substring": substring.op1_substring,
         "op2_quality": quality.op2_quality,
+        "op4_language": language.op4_language,
         "op5_bpe": bpe.op5_bpe,
         "op6_simhash": simhash.op6_simhash,
+        "op8_neighbours": neighbours.op8_neighbours,
         "op9_warc": warc.op9_warc,
         "op10_packing": packing.op10_packing,
     }
