@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, language, neighbours, packing, quality, simhash, substring, warc
+from . import bpe, language, neighbours, packing, quality, simhash, substring, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_substring": substring.op1_substring,
         "op2_quality": quality.op2_quality,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_language": language.op4_language,
         "op5_bpe": bpe.op5_bpe,
         "op6_simhash": simhash.op6_simhash,
