@@ -27,7 +27,7 @@ from . import common
 from .language import held_out
 
 #: Bounds of the labelled sample, of its features, and of the lexicon.
-SAMPLE_ROWS, FEATURES, LEXICON, MIN_Z = 12_000, 6000, 300, 4.0
+SAMPLE_ROWS, FEATURES, LEXICON, MIN_Z, MIN_TEXTS = 12_000, 6000, 300, 6.0, 12
 #: Letters of a word beginning; accuracy that a label is trusted with.
 BEGINNING, LABEL_ACCURACY = 5, 0.97
 THRESHOLD = 0.3
@@ -76,7 +76,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> tupl
     return post, model
 
 
-def fit_linear(rows: list[np.ndarray], target: np.ndarray, width: int, steps: int = 1200, l2: float = 2e-6) -> tuple[np.ndarray, float]:
+def fit_linear(rows: list[np.ndarray], target: np.ndarray, width: int, steps: int = 1200, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on sparse 0/1 rows by gradient steps with momentum (Adam)."""
     at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -144,12 +144,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
         return Scorer({}, None)
     # how many toxic and clean texts have each feature; the most telling stay
     seen = sample.select(F.explode("f").alias("f"), "toxic").groupBy("f").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("c"))
-    seen = seen.where(F.col("a") + F.col("c") >= 4)
-    p, q = (F.col("a") + 0.5) / F.lit(toxic + 1.0), (F.col("c") + 0.5) / F.lit(total - toxic + 1.0)
-    z = F.log(p / q) / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("c") + 0.5))
+    seen = seen.where(F.col("a") + F.col("c") >= MIN_TEXTS)
+    # two-proportion z: how sure it is that toxic texts have the feature more often
+    both = (F.col("a") + F.col("c")) / F.lit(float(total))
+    z = (F.col("a") / F.lit(float(toxic)) - F.col("c") / F.lit(float(total - toxic))) / F.sqrt(both * (1 - both) * F.lit(1 / toxic + 1 / (total - toxic)) + 1e-12)
     known = [(r[0], r[1]) for r in seen.select("f", z.alias("z")).where(F.col("z") > MIN_Z).orderBy(F.desc(F.abs("z")), "f").limit(FEATURES).collect()]
     place = {f: i for i, (f, _) in enumerate(known)}
-    lexicon = [f for f, s in known if s > 3][:LEXICON]
+    lexicon = [f for f, _ in known][:LEXICON]
     voter = {f: i for i, f in enumerate(lexicon)}
     wanted = docs.sparkSession.createDataFrame([(f,) for f in place], "f string")
     small = sample.withColumn("_r", F.monotonically_increasing_id()).select("_r", "doc_id", "p", "toxic", F.explode_outer("f").alias("f"))
