@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language, neighbours, packing, quality, simhash, substring, toxicity, warc
+from . import bpe, language, neighbours, packing, pii, quality, simhash, substring, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_language": language.op4_language,
         "op5_bpe": bpe.op5_bpe,
         "op6_simhash": simhash.op6_simhash,
+        "op7_pii": pii.op7_pii,
         "op8_neighbours": neighbours.op8_neighbours,
         "op9_warc": warc.op9_warc,
         "op10_packing": packing.op10_packing,
