@@ -16,6 +16,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-#: Entries of a worker's cache of encoded words; it is emptied between texts when full, so one text's distinct words are all that can exceed it.
-CACHE_WORDS = 300_000
+#: Entries of each generation of a worker's caches of encoded words and pieces.
+CACHE_WORDS = 200_000
 
 _CONTROL = regex.compile("[\x1c-\x1f]")
 _ASCII_SPACE = regex.compile("[\t-\r ]+")
@@ -92,18 +93,6 @@ def merge_symbols(symbols: list[int], pairs: dict[int, tuple[int, int]], width:
     return [s for s in symbols if s >= 0]
 
 
-class _Words(dict):
-    """Encoded words, each made when it is first asked for."""
-
-    def __init__(self, encode_word) -> None:
-        super().__init__()
-        self.encode_word = encode_word
-
-    def __missing__(self, word: str) -> str:
-        self[word] = out = " ".join(map(str, self.encode_word(word)))
-        return out
-
-
 class Encoder:
     """Encodes and decodes by a tokenizers vocabulary file of the kind "BPE with word ends"."""
 
@@ -124,22 +113,26 @@ class Encoder:
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.cache = _Words(self.encode_word)
+        self.cache, self.piece_cache = common.Recent(self.encode_word, CACHE_WORDS), common.Recent(self._piece, CACHE_WORDS)
 
-    def encode_word(self, word: str) -> list[int]:
-        """Ids of a text without ASCII white space (which never joins two tokens)."""
-        out: list[int] = []
+    def _piece(self, piece: str) -> str:
+        raw = piece.encode("utf-8")
+        symbols = [self.inner[b] for b in raw]
+        symbols[-1] = self.last[raw[-1]]
+        return " ".join(map(str, merge_symbols(symbols, self.pairs, self.width)))
+
+    def encode_word(self, word: str) -> str:
+        """Decimal ids of a text without ASCII white space (which never joins two tokens)."""
+        out: list[str] = []
         for part in self.specials.split(word) if self.specials and "<|" in word else (word,):
             if part in self.special:
-                out.append(self.special[part])
+                out.append(str(self.special[part]))
                 continue
             part = unicodedata.normalize("NFC", part)
             # letter by letter where lower() would look at the neighbours (final sigma)
             part = "".join(c.lower() for c in part) if "Σ" in part else part.lower()
-            for piece in self.pieces.findall(part):
-                raw = piece.encode("utf-8")
-                out += merge_symbols([self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]], self.pairs, self.width)
-        return out
+            out += map(self.piece_cache.__getitem__, self.pieces.findall(part))
+        return " ".join(out)
 
     def encode(self, text: str | None) -> str:
         """The decimal ids of a whole text, joined by one space."""
@@ -147,8 +140,8 @@ class Encoder:
             return ""
         words = _ASCII_SPACE.split(text) if _CONTROL.search(text) else text.split()
         cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
+        cache.age()
+        self.piece_cache.age()
         ids = " ".join(map(cache.__getitem__, words))
         return " ".join(ids.split()) if "  " in ids or ids[:1] == " " or ids[-1:] == " " else ids
 
@@ -157,13 +150,19 @@ class Encoder:
         return " ".join(map(self.token.__getitem__, ids.split(" "))) if ids else ""
 
 
+@lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """One for each worker process, so that its next task finds the words of the last."""
+    return Encoder(path)
+
+
 def bpe_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, ids (decimal, space-joined) digest and the decoded text's digest, n_tokens."""
     common.small_batches(docs.sparkSession)
     path = path or common.tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
             for text in batch.column(1).to_pylist():

@@ -65,6 +65,15 @@ def drop_scratch(df: DataFrame) -> None:
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Rows of a few short columns that may be broadcast; a side that turns out larger is shuffled.
+BROADCAST_ROWS = 100_000
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, marked for broadcast if its rows are counted and few."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def with_global_rank(df: DataFrame, order: list[str], per: str, rank: str = "_rank") -> DataFrame:
     """Number the rows of each value of ``per`` from 0 in the given order, without one task per value.
 
@@ -87,3 +96,27 @@ def with_global_rank(df: DataFrame, order: list[str], per: str, rank: str = "_ra
     before = Window.partitionBy(per).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first"))
     return numbered.join(runs.select("_p", per, "_shift"), ["_p", per]).withColumn(rank, F.col("_m") + F.col("_shift")).drop("_m", "_p", "_shift")
+
+
+class Recent(dict):
+    """A bounded cache of two generations, each value made when it is first asked for.
+
+    When the young one is full it becomes the old one, whose entries come back when they are asked
+    for; so frequent keys stay, and at most ``2 * most`` (and one text's) are held.
+    """
+
+    def __init__(self, make, most: int) -> None:
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        out = self.old.pop(key, None)
+        if out is None:
+            out = self.make(key)
+        self[key] = out
+        return out
+
+    def age(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
