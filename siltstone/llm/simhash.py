@@ -13,7 +13,7 @@ parts, and each pair of parts is a shard of its own.
 
 The trees are shipped to their queries by shard key and not broadcast: a broadcast
 of all trees would grow with the corpus. ``blocks`` grows with the number of fingerprints,
-which keeps shards small.
+which keeps shards small at the least cost.
 
 Null and empty texts and texts without a word have fingerprint zero and are linked like any
 other. Rows that repeat a doc_id each keep their own fingerprint. A null doc_id never becomes a component_id unless its whole
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,8 @@ from . import common
 from .components import connected_components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
+#: What near_duplicates_removed takes: words of a shingle, bits, and the similarity that is checked.
+STAGE_SHINGLE, STAGE_RADIUS, STAGE_SIMILARITY = 5, 7, 0.8
 #: A shard of more fingerprints than this is cut into parts.
 SHARD_ROWS = 50_000
 #: Sub-trees of at most this many fingerprints are compared at once.
@@ -121,11 +124,13 @@ def bk_forest(values: np.ndarray, radius: int = RADIUS, apart: np.ndarray | None
 
 
 def _blocks_for(n: int, radius: int) -> int:
-    """As few blocks as give shards of 64 rows on average."""
-    blocks = radius + 1
-    while n > 64 * 2 ** (64 * (blocks - radius) // blocks) and blocks < radius + 4:
-        blocks += 1
-    return blocks
+    """The number of blocks that costs least: each table ships every row (1 us) and compares it within its shard (2 ns each)."""
+
+    def cost(blocks: int) -> float:
+        bits = 64 * (blocks - radius) / blocks
+        return comb(blocks, radius) * (1e-6 + 2e-9 * n / 2**bits)
+
+    return min(range(radius + 1, radius + 6), key=cost)
 
 
 def shard_links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
@@ -180,20 +185,82 @@ def shard_links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     return rows.select("fp", "t", "v", "p").mapInArrow(run, "a long, b long")
 
 
+def roots_of(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, root) for every distinct fingerprint of ``prints`` (fp); root is a fingerprint of the same component."""
+    classes = common.materialize(prints.select("fp").distinct(), "classes")
+    roots = connected_components(shard_links(classes, classes.count(), radius))
+    # only members of linked classes have a root of their own table; other classes are their own component
+    return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicate_classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id: one row per row of ``docs``."""
     prints = common.materialize(fingerprints(docs, shingle), "prints")
-    classes = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    links = shard_links(classes.select("fp"), classes.count(), radius)
-    roots = connected_components(links)
-    # the members of linked classes alone meet their roots; other classes are their own component
-    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = named.where("root != fp").groupBy("root").agg(F.min("least").alias("low"))
-    ids = named.where("root = fp").select("root", F.col("least").alias("own")).join(ids, "root", "left").select("root", F.least("own", "low").alias("component_id"))
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    named = roots_of(prints, radius).join(least, "fp")
+    # the least id is taken per class first, so a class of a third of all rows is one row here
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     component = named.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return prints.join(component, "fp").select("doc_id", "fp", "component_id")
 
 
+def similarity(a: str | None, b: str | None, shingle: int = STAGE_SHINGLE) -> float:
+    """Jaccard similarity of two texts' sets of word shingles (1 if neither has one)."""
+
+    def of(text: str | None) -> set:
+        w = (text or "").encode("utf-8").translate(_LOWER).split()
+        return {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
+
+    x, y = of(a), of(b)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def near_duplicates_removed(docs: DataFrame, shingle: int = STAGE_SHINGLE, radius: int = STAGE_RADIUS, least: float = STAGE_SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group of equal or near-equal texts, with all columns.
+
+    Fingerprints propose groups; the row with the smallest doc_id (null ids last, then by a hash of the text) stays. Another text of its
+    group goes if its shingles are at least ``least`` similar to those of the text that stays, which is one comparison a text, and otherwise stays
+    itself. Of equal texts one row stays, whichever way.
+    """
+    key = [F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_doc"), F.xxhash64("text").alias("_th")]
+    common.small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.fromiter((fingerprint(t, shingle) for t in batch.column(2).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], names=["doc", "th", "fp"])
+
+    prints = common.materialize(docs.select(*key, "text").mapInArrow(run, "doc long, th long, fp long"), "prints")
+    texts = prints.groupBy("fp", "th").agg(F.min("doc").alias("doc"), F.count("*").alias("n"))
+    texts = common.materialize(texts.join(roots_of(prints, radius), "fp"), "texts")
+    several = texts.groupBy("root").agg(F.min(F.struct("doc", "th")).alias("kept"), F.count("*").alias("texts")).where("texts > 1")
+    pairs = common.materialize(texts.join(several, "root").where("th != kept.th").select("doc", "th", F.col("kept.doc").alias("kept_doc"), F.col("kept.th").alias("kept_th")), "pairs")
+    keyed = docs.select(*key, "text")
+    known = pairs.count()
+    few = (lambda x: F.broadcast(x)) if known <= common.BROADCAST_ROWS else (lambda x: x)
+    mine = keyed.join(few(pairs.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"))), ["_doc", "_th"], "left_semi").dropDuplicates(["_doc", "_th"])
+    theirs = keyed.join(few(pairs.select(F.col("kept_doc").alias("_doc"), F.col("kept_th").alias("_th")).distinct()), ["_doc", "_th"], "left_semi").dropDuplicates(["_doc", "_th"])
+    mine = mine.select(F.col("_doc").alias("doc"), F.col("_th").alias("th"), F.col("text").alias("a"))
+    theirs = theirs.select(F.col("_doc").alias("kept_doc"), F.col("_th").alias("kept_th"), F.col("text").alias("b"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [similarity(a, b, shingle) >= least for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["doc", "th"]).filter(pa.array(near, pa.bool_()))
+
+    joined = pairs.join(mine, ["doc", "th"]).join(theirs, ["kept_doc", "kept_th"]).select("doc", "th", "a", "b")
+    near = common.materialize(joined.mapInArrow(compare, "doc long, th long"), "near")
+    # of each text the rows of other ids go; of a near text all rows do
+    gone = prints.join(texts.where("n > 1").select("fp", "th", F.col("doc").alias("first")), ["fp", "th"]).where("doc != first").select("doc", "th")
+    gone = common.materialize(gone.unionAll(near).distinct().select(F.col("doc").alias("_doc"), F.col("th").alias("_th")), "gone")
+    columns = docs.columns
+    rest = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), *key).join(common.sized(gone), ["_doc", "_th"], "left_anti")
+    again = prints.groupBy("doc", "th").count().where("count > 1").select(F.col("doc").alias("_doc"), F.col("th").alias("_th"))
+    if not again.isEmpty():  # a row that is repeated wholly has the key of the row that stays
+        rest = rest.dropDuplicates(["_doc", "_th"])
+    return rest.select(*(F.col(f"_row.`{c}`").alias(c) for c in columns))
+
+
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     out = near_duplicate_classes(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

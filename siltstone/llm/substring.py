@@ -25,6 +25,7 @@ hash. A null doc_id comes after all others. Columns other than doc_id and text a
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -34,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import common
 
@@ -103,8 +105,9 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc (doc_id, the greatest long if null), th (hash of the text, to tell rows of one doc_id apart), text."""
-    return docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc"), F.hash("text").alias("th"), "text")
+    """doc (doc_id, the greatest long if null), th (hash of the text, to tell rows of one doc_id apart), text, and rest (all other columns)."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc"), F.hash("text").alias("th"), "text", F.struct(*others, F.lit(0).alias("_")).alias("rest"))
 
 
 def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,18 +127,24 @@ def repeated_anchors(keyed: DataFrame, groups: int, window: int = WINDOW) -> Dat
             b = _Batch(batch.column(2).to_pylist(), window)
             at = np.unique(b.anchor)
             doc, th = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
-            yield pa.RecordBatch.from_arrays([_long(b.prefix[at]), _long(doc[b.doc[at]]), _long((th[b.doc[at]] << 32) | b.place[at])], names=["h", "doc", "tp"])
+            # of a prefix that the batch has twice or more, one goes to its group; the others are dealt anywhere
+            _, first, of, n = np.unique(b.prefix[at], return_index=True, return_inverse=True, return_counts=True)
+            state = np.where(n[of] == 1, 0, 2)
+            state[first[n > 1]] = 1
+            h = np.where(state == 2, b.prefix[at] + np.arange(len(at), dtype=np.uint64) * np.uint64(_Q1), b.prefix[at])
+            yield pa.RecordBatch.from_arrays([_long(h), _long(doc[b.doc[at]]), _long((th[b.doc[at]] << 32) | b.place[at]), pa.array(state.astype(np.int8))], names=["h", "doc", "tp", "state"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [tuple(c.to_numpy() for c in b.columns) for b in batches]
         if not parts:
             return
-        h, doc, tp = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h, doc, tp, state = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
-        order = np.argsort(h, kind="stable")
+        order = np.flatnonzero(state < 2)
+        order = order[np.argsort(h[order], kind="stable")]
         s = h[order]
         same = np.r_[False, s[1:] == s[:-1]]
-        again = order[same | np.r_[same[1:], False]]
+        again = np.union1d(order[same | np.r_[same[1:], False]] if len(order) else order, np.flatnonzero(state > 0))
         doc, tp = doc[again], tp[again]
         order = np.lexsort((tp, doc))
         doc, tp = doc[order], tp[order]
@@ -145,7 +154,7 @@ def repeated_anchors(keyed: DataFrame, groups: int, window: int = WINDOW) -> Dat
         for k in range(0, len(new), 5000):
             yield pa.RecordBatch.from_arrays([pa.array(doc[new[k : k + 5000]]), pa.array(th[new[k : k + 5000]].astype(np.int32)), places.slice(k, 5000)], names=["doc", "th", "places"])
 
-    sent = keyed.mapInArrow(emit, "h long, doc long, tp long")
+    sent = keyed.mapInArrow(emit, "h long, doc long, tp long, state byte")
     return sent.repartition(groups, "h").mapInArrow(count, "doc long, th int, places array<int>").groupBy("doc", "th").agg(F.flatten(F.collect_list("places")).alias("places"))
 
 
@@ -287,7 +296,10 @@ def kept_words(text: str | None, runs: list[tuple[int, int]], window: int = WIND
 
 
 def repeat_runs(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(doc, th, text, dealt by doc and th) and (doc, th, runs) for texts of which words go."""
+    """(doc, th, text and rest, dealt by doc and th) and (doc, th, runs) for texts of which words go.
+
+    Both joins with the texts use the same columns, so the texts are dealt once.
+    """
     spark = docs.sparkSession
     common.small_batches(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -295,7 +307,7 @@ def repeat_runs(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataF
     keyed = _keyed(docs)
     dealt = keyed.repartition(groups, "doc", "th")
     anchors = repeated_anchors(keyed, groups, window)
-    flagged = dealt.join(anchors, ["doc", "th"]).select("doc", "th", "text", "places")
+    flagged = dealt.join(anchors, ["doc", "th"]).select("doc", "th", "text", "places", "rest")
     runs = group_repeats(repeat_suffixes(flagged, window), groups, window)
     return dealt, runs.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
 
@@ -318,6 +330,40 @@ def op1_substring(spark, sf_dir: str, window: int = WINDOW) -> DataFrame:
     return dealt.join(runs, ["doc", "th"], "left").select("doc", "text", "runs").mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
+_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def without_runs(text: str, runs: list[tuple[int, int]], window: int = WINDOW) -> str:
+    """A text without its removed words and the space after each; all else stays as it is."""
+    raw = text.encode("utf-8")
+    starts = [m.start() for m in _WORDS.finditer(raw)]
+    gone = np.zeros(len(starts) + 1, np.int64)
+    for s, e in runs:
+        gone[s] += 1
+        gone[min(len(starts), e - 1 + window)] -= 1
+    covered = (np.cumsum(gone)[: len(starts)] > 0).tolist()
+    stops = [*starts[1:], len(raw)]
+    return b"".join(raw[a:b] for a, b, c in zip(starts, stops, covered, strict=True) if not c).decode("utf-8").rstrip(" \t\n\v\f\r")
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with the words of repeated windows taken out of ``text`` (n_chars follows, if there is such a column)."""
+    dealt, runs = repeat_runs(docs, window)
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, ids = [], batch.column(0).to_numpy()
+            for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                texts.append(without_runs(text, [(x["start"], x["end"]) for x in gone], window) if gone else text)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == _NULL_ID), pa.array(texts, pa.string()), batch.column(3)], schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("rest", batch.schema.field(3).type)]))
+
+    joined = dealt.join(runs, ["doc", "th"], "left").select("doc", "text", "runs", "rest")
+    out = joined.mapInArrow(run, StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("rest", dealt.schema["rest"].dataType)]))
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.char_length("text").cast("long").alias("n_chars")}
+    return out.select(*(own[c] if c in own else F.col(f"rest.`{c}`") for c in columns))
+
+
 OP1_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') AS w FROM d),
