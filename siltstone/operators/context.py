@@ -136,7 +136,9 @@ def small_target(n_lines: Column, chars: Column, most_lines: int = 64, most_char
 def over_quota(calls: DataFrame, by: Sequence[str], order: Sequence[str], tool: str = "tool", quotas: dict[str, int] = QUOTAS, default: int = 10**6) -> DataFrame:
     """Calls with ``status``: blocked beyond the limit of their tool, in order."""
     w = Window.partitionBy(*by, tool).orderBy(*order)
-    limit = F.coalesce(F.create_map(*(x for k, v in quotas.items() for x in (F.lit(k), F.lit(v))))[F.col(tool)], F.lit(default))
+    limit = F.lit(default)
+    for k, v in quotas.items():
+        limit = F.when(F.col(tool) == k, v).otherwise(limit)
     return calls.withColumn("nth", F.row_number().over(w)).withColumn("status", F.when(F.col("nth") > limit, "blocked").otherwise("ok"))
 
 

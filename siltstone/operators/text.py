@@ -292,9 +292,12 @@ def chrf(pairs: DataFrame, keys: Sequence[str], a: str, b: str, order: int = 6,
     """(keys, chrf): F score of character n-grams of 1 to ``order``, averaged over the orders. Both empty gives 1, one empty 0.
 
     N-grams are exploded and counted with map-side combination; the two sides meet as one aggregate, without a join."""
+    def of_order(text: str, side: int, n: int) -> Column:
+        gram = lambda i: F.struct(F.lit(n).alias("o"), F.substr(F.col(text), i, F.lit(n)).alias("g"), F.lit(side).alias("s"))
+        return F.when(F.char_length(text) >= n, F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), gram))
+
     def grams(text: str, side: int) -> Column:
-        per = [F.when(F.char_length(text) >= n, F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i, n=n: F.struct(F.lit(n).alias("o"), F.substr(F.col(text), i, F.lit(n)).alias("g"), F.lit(side).alias("s")))) for n in range(1, order + 1)]
-        return F.flatten(F.array_compact(F.array(*per)))
+        return F.flatten(F.array_compact(F.array(*(of_order(text, side, n) for n in range(1, order + 1)))))
 
     exploded = pairs.select(*keys, F.inline(F.concat(grams(a, 0), grams(b, 1))))
     counts = exploded.groupBy(*keys, "o", "g").agg(F.count_if(F.col("s") == 0).alias("x"), F.count_if(F.col("s") == 1).alias("y"))

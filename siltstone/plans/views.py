@@ -22,7 +22,7 @@ FROM lineitem"""
 DEV = """SELECT CAST(c_custkey AS STRING) AS deviceId, CAST(49 AS DOUBLE) + CAST(c_nationkey AS DOUBLE)/5 AS latitude, CAST(14 AS DOUBLE) + c_acctbal/1000 AS longitude
 FROM customer WHERE c_custkey % 9 <> 0"""
 SNIP = """SELECT CAST(l_suppkey AS STRING) AS path, l_partkey % 200 + 1 AS start, l_partkey % 200 + 1 + CAST(l_quantity AS BIGINT) AS "end", l_partkey % 200 + 1 + CAST(l_linenumber AS BIGINT) AS anchor,
- l_orderkey * 10 + l_linenumber AS selection, CAST(l_quantity AS BIGINT) + 1 AS size_lines, CAST(l_quantity AS BIGINT) * 17 + 9 AS size_chars FROM lineitem"""
+ l_orderkey * 10000000000 + CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + CAST(l_quantity AS BIGINT) AS selection, CAST(l_quantity AS BIGINT) + 1 AS size_lines, CAST(l_quantity AS BIGINT) * 17 + 9 AS size_chars FROM lineitem"""
 EDGES = """SELECT n_name AS child, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey
  UNION ALL SELECT r_name, 'world' FROM region
  UNION ALL SELECT * FROM (VALUES ('d1','world'), ('d2','d1'), ('d3','d1'), ('d4','d2'), ('d4','d3')) AS v(child, parent)"""
