@@ -6,7 +6,7 @@ text from there on. The phrases times the logarithm of the learned text's length
 cost in bits, so the language needing fewest normalised phrases wins.
 
 An automaton is one dense table (state, letter) -> state, where a missing transition
-holds what follows from the initial state, and a mark that a phrase ended. So a
+holds what follows from the initial state, and a mark that a phrase begins. So a
 parse is one look-up a letter, and whole arrays of text parts advance together. Texts are
 cut into parts of ``PART`` letters for this; all of a text is parsed, and each part begins a phrase, for
 every language alike.
@@ -34,7 +34,7 @@ SAMPLE_TEXTS, TABLE_CELLS, MOST_LETTERS = 200, 10_000_000, 24_000
 #: Letters that have a symbol of their own; all others share one.
 ALPHABET = 60
 PART = 256
-_ENDED = 1 << 30
+_BEGINS = 1 << 30
 
 
 def held_out() -> Column:
@@ -70,9 +70,10 @@ def suffix_automaton(text: np.ndarray, letters: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = clone
         last = new
-    root = np.array([follow[0].get(c, 0) for c in range(letters)], np.int32) | _ENDED
+    root = np.array([follow[0].get(c, 0) for c in range(letters)], np.int32) | _BEGINS
+    # the initial state is that of no phrase: whatever follows begins one
     table = np.tile(root, (len(follow), 1))
-    for s, to in enumerate(follow):
+    for s, to in enumerate(follow[1:], 1):
         for c, q in to.items():
             table[s, c] = q
     return table
@@ -129,7 +130,7 @@ class Parser:
         out = np.zeros((len(texts), len(self.tables)), np.int64)
         for k, table in enumerate(self.tables):
             state = np.zeros(len(order), np.int32)
-            count = np.ones(len(order), np.int64)
+            count = np.zeros(len(order), np.int64)
             for i in range(PART):
                 n = alive[i]
                 if not n:
@@ -138,7 +139,7 @@ class Parser:
                 state[:n] += steps[i, :n]
                 now = table[state[:n]]
                 count[:n] += now >> 30
-                state[:n] = now & (_ENDED - 1)
+                state[:n] = now & (_BEGINS - 1)
             out[:, k] = np.bincount(of[order], count, len(texts))
         return out
 

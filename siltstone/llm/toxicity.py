@@ -27,9 +27,9 @@ from . import common
 from .language import held_out
 
 #: Bounds of the labelled sample, of its features, and of the lexicon.
-SAMPLE_ROWS, FEATURES, LEXICON, MIN_Z, MIN_TEXTS = 12_000, 6000, 300, 6.0, 12
+SAMPLE_ROWS, FEATURES, LEXICON, MIN_Z, MIN_TEXTS = 12_000, 6000, 300, 7.0, 8
 #: Letters of a word beginning; accuracy that a label is trusted with.
-BEGINNING, LABEL_ACCURACY = 5, 0.97
+BEGINNINGS, LABEL_ACCURACY = (4, 5, 6), 0.97
 THRESHOLD = 0.3
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -38,7 +38,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 def features(text: str | None) -> set[str]:
     """The lower-case words of a text, and with a star the beginnings of its longer words."""
     words = set(_WORD.findall((text or "").lower()))
-    return words | {w[:BEGINNING] + "*" for w in words if len(w) > BEGINNING}
+    return words | {w[:n] + "*" for n in BEGINNINGS for w in words if len(w) > n}
 
 
 def patterns(text: str | None) -> list[bool]:
@@ -124,15 +124,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
 class Scorer:
     def __init__(self, weights: dict[str, float], bias: float | None) -> None:
-        self.weights, self.bias = weights, bias
+        self.weights, self.bias = {k: v for k, v in weights.items() if k[-1] != "*"}, bias
+        self.begins = {n: {k[:-1]: v for k, v in weights.items() if k[-1] == "*" and len(k) == n + 1} for n in BEGINNINGS}
 
     def score(self, text: str | None) -> float:
         if self.bias is None:
             return 0.0
         get = self.weights.get
         words = set(_WORD.findall((text or "").lower()))
-        begins = {w[:BEGINNING] for w in words if len(w) > BEGINNING}
-        logit = self.bias + sum(filter(None, map(get, words))) + sum(filter(None, [get(x + "*") for x in begins]))
+        logit = self.bias + sum(filter(None, map(get, words)))
+        for n, weights in self.begins.items():
+            logit += sum(filter(None, map(weights.get, {w[:n] for w in words if len(w) > n})))
         return float(1 / (1 + np.exp(-min(40.0, max(-40.0, logit)))))
 
 
