@@ -21,62 +21,146 @@ doc_id and text aren't read.
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .bpe import _ASCII_SPACE, _CONTROL
 
 CAPACITY, END = 4096, 1
-#: Entries of a worker's cache of encoded words.
-CACHE_WORDS = 300_000
+#: Entries of a worker's cache of encoded chunks; it is emptied when full.
+CACHE_WORDS = 400_000
 
+#: Marks of words that have occurred, by hash (a clash only keeps a word early).
+_SEEN = (1 << 22) - 1
+
+_STOP = re.compile(r"(?<=[^\W_])([.,])(?=\s|$)")
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class _Ids(dict):
-    """Ids of each word as little-endian unsigned 32-bit numbers, by the tokenizers library."""
+class _Ids:
+    """Ids of texts as little-endian unsigned 32-bit numbers, by the tokenizers library.
+
+    A text is normalized as a whole and cut at white space and before a comma or full stop that ends a
+    word; these chunks are looked up in a cache. The pieces (as the tokenizer's own pattern splits them) of chunks that
+    aren't there go to the library together, and the ids that end a piece part them.
+    """
 
     def __init__(self, path: str) -> None:
-        super().__init__()
-        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # the same model for pieces, which are normalized and split already
+        self.model = Tokenizer.from_file(path)
+        self.model.no_truncation()
+        self.model.no_padding()
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.pattern = regex.compile(split)
+        suffix = spec["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(max(spec["model"]["vocab"].values()) + len(spec["added_tokens"]) + 2, bool)
+        self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        self.chunks: dict[str, bytes] = {}
+        self.seen = bytearray(_SEEN + 1)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _chunks(self, text: str) -> list[str] | None:
+        """None where a text must go to the library as it is (special tokens, letters that change again)."""
+        if "<|" in text:
+            return None
+        if text.isascii():
+            plain = text.lower()
+        else:
+            plain = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            if not unicodedata.is_normalized("NFC", plain):
+                return None
+        plain = _STOP.sub(r" \1", plain)
+        return _ASCII_SPACE.split(plain) if _CONTROL.search(plain) else plain.split()
+
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for k in range(0, len(pieces), 2000):
+            some = pieces[k : k + 2000]
+            ids = np.array(self.model.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) == len(some):
+                raw = ids.tobytes()
+                out += [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+            else:
+                out += map(self._whole, some)
+        return out
 
-    def __missing__(self, word: str) -> bytes:
-        self[word] = out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts."""
+        texts = [t or "" for t in texts]
+        split = [self._chunks(t) for t in texts]
+        chunks, seen = self.chunks, self.seen
+        new = [c for c in set().union(*filter(None, split)) if c not in chunks]
+        mixed = {c: self.pattern.findall(c) for c in new if not c.isalpha() and len(c) != 1}
+        simple = {c for c in new if c not in mixed and c}
+        simple.update(p for ps in mixed.values() for p in ps if p not in chunks)
+        simple = list(simple)
+        chunks.update(zip(simple, self._encode_pieces(simple), strict=True))
+        get = chunks.__getitem__
+        joined = {c: b"".join(map(get, ps)) for c, ps in mixed.items() if ps != [c]}
+        chunks.update(joined)
+        chunks[""] = b""
+        out = [self._whole(t) if cs is None else b"".join(map(get, cs)) for t, cs in zip(texts, split, strict=True)]
+        # what occurs for the first time mostly never does again: only from the second batch on it is kept
+        for keys in (simple, joined):
+            for k in keys:
+                i = hash(k) & _SEEN
+                if not seen[i]:
+                    seen[i] = 1
+                    chunks.pop(k, None)
+        if len(chunks) > CACHE_WORDS:
+            chunks.clear()
         return out
 
 
+@lru_cache(1)
+def _ids(path: str) -> _Ids:
+    """One for each worker process, so that its next task finds the words of the last."""
+    return _Ids(path)
+
+
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """The pieces of each document: doc_id, piece, start, length, ids_crc32.
 
     White space never joins two tokens of this tokenizer, so a word's ids don't depend on
     its neighbours and are kept for the next time that it occurs.
     """
-    from .bpe import _ASCII_SPACE, _CONTROL
-
     common.small_batches(docs.sparkSession)
     path, end, step = path or common.tokenizer_path(), np.array([END], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(path)
+        ids = _ids(path)
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = text or ""
-                raw = b"".join(map(ids.__getitem__, _ASCII_SPACE.split(text) if _CONTROL.search(text) else text.split())) + end
+            for doc, raw in zip(batch.column(0).to_pylist(), ids.encode(batch.column(1).to_pylist()), strict=True):
+                raw += end
                 for k, at in enumerate(range(0, len(raw), step)):
                     part = raw[at : at + step]
                     out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
-                if len(ids) > CACHE_WORDS:
-                    ids.clear()
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
