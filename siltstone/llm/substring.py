@@ -32,6 +32,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,29 +123,47 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def repeated_anchors(keyed: DataFrame, groups: int, window: int = WINDOW) -> DataFrame:
     """(doc, th, places): the anchors whose prefix occurs more than once in all texts."""
 
+    names = ["h", "doc", "tp", "state", "places"]
+    found = ["doc", "th", "places"]
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b = _Batch(batch.column(2).to_pylist(), window)
             at = np.unique(b.anchor)
             doc, th = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
-            # of a prefix that the batch has twice or more, one goes to its group; the others are dealt anywhere
+            # of a prefix that the batch has twice or more one goes to its group; the others are settled, as one list a document
             _, first, of, n = np.unique(b.prefix[at], return_index=True, return_inverse=True, return_counts=True)
-            state = np.where(n[of] == 1, 0, 2)
-            state[first[n > 1]] = 1
-            h = np.where(state == 2, b.prefix[at] + np.arange(len(at), dtype=np.uint64) * np.uint64(_Q1), b.prefix[at])
-            yield pa.RecordBatch.from_arrays([_long(h), _long(doc[b.doc[at]]), _long((th[b.doc[at]] << 32) | b.place[at]), pa.array(state.astype(np.int8))], names=["h", "doc", "tp", "state"])
+            own = n[of] == 1
+            own[first] = True
+            again = np.where(n[of] > 1, 1, 0)[own].astype(np.int8)
+            ship, rest = at[own], at[~own]
+            d = b.doc[ship]
+            yield pa.RecordBatch.from_arrays([_long(b.prefix[ship]), _long(doc[d]), _long((th[d] << 32) | b.place[ship]), pa.array(again), pa.nulls(len(ship), pa.list_(pa.int32()))], names=names)
+            if len(rest):
+                d = b.doc[rest]
+                new = np.flatnonzero(np.r_[True, np.diff(d) != 0])
+                places = pa.ListArray.from_arrays(pa.array(np.r_[new, len(d)].astype(np.int32)), pa.array(b.place[rest].astype(np.int32)))
+                d = d[new]
+                with np.errstate(over="ignore"):
+                    key = (doc[d].astype(np.uint64) + np.uint64(1)) * np.uint64(_Q1)
+                yield pa.RecordBatch.from_arrays([_long(key), _long(doc[d]), _long(th[d] << 32), pa.array(np.full(len(d), 2, np.int8)), places], names=names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [tuple(c.to_numpy() for c in b.columns) for b in batches]
+        parts = []
+        for b in batches:
+            settled = b.filter(pa.compute.equal(b.column(3), 2))
+            if settled.num_rows:
+                yield pa.RecordBatch.from_arrays([settled.column(1), pa.array((settled.column(2).to_numpy() >> 32).astype(np.int32)), settled.column(4)], names=found)
+            b = b.filter(pa.compute.less(b.column(3), 2))
+            parts.append(tuple(b.column(k).to_numpy() for k in range(4)))
         if not parts:
             return
         h, doc, tp, state = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
-        order = np.flatnonzero(state < 2)
-        order = order[np.argsort(h[order], kind="stable")]
+        order = np.argsort(h, kind="stable")
         s = h[order]
-        same = np.r_[False, s[1:] == s[:-1]]
-        again = np.union1d(order[same | np.r_[same[1:], False]] if len(order) else order, np.flatnonzero(state > 0))
+        same = np.r_[False, s[1:] == s[:-1]][: len(s)]
+        again = order[same | np.r_[same[1:], False][: len(s)] | (state[order] == 1)]
         doc, tp = doc[again], tp[again]
         order = np.lexsort((tp, doc))
         doc, tp = doc[order], tp[order]
@@ -152,9 +171,9 @@ def repeated_anchors(keyed: DataFrame, groups: int, window: int = WINDOW) -> Dat
         new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])]) if len(doc) else np.zeros(0, np.int64)
         places = pa.ListArray.from_arrays(pa.array(np.r_[new, len(doc)].astype(np.int32)), pa.array((tp & 0xFFFFFFFF).astype(np.int32)))
         for k in range(0, len(new), 5000):
-            yield pa.RecordBatch.from_arrays([pa.array(doc[new[k : k + 5000]]), pa.array(th[new[k : k + 5000]].astype(np.int32)), places.slice(k, 5000)], names=["doc", "th", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[new[k : k + 5000]]), pa.array(th[new[k : k + 5000]].astype(np.int32)), places.slice(k, 5000)], names=found)
 
-    sent = keyed.mapInArrow(emit, "h long, doc long, tp long, state byte")
+    sent = keyed.mapInArrow(emit, "h long, doc long, tp long, state byte, places array<int>")
     return sent.repartition(groups, "h").mapInArrow(count, "doc long, th int, places array<int>").groupBy("doc", "th").agg(F.flatten(F.collect_list("places")).alias("places"))
 
 
@@ -313,7 +332,7 @@ def repeat_runs(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataF
 
 
 def op1_substring(spark, sf_dir: str, window: int = WINDOW) -> DataFrame:
-    dealt, runs = repeat_runs(common.table(spark, sf_dir, "documents"), window)
+    dealt, runs = repeat_runs(common.table(spark, sf_dir, "documents").select("doc_id", "text"), window)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,7 +346,7 @@ def op1_substring(spark, sf_dir: str, window: int = WINDOW) -> DataFrame:
             doc = pa.array(ids, pa.int64(), mask=ids == _NULL_ID)
             yield pa.RecordBatch.from_arrays([doc, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return dealt.join(runs, ["doc", "th"], "left").select("doc", "text", "runs").mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return dealt.join(runs, ["doc", "th"], "left").select("doc", "text", "runs", "rest").mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
