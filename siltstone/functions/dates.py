@@ -53,3 +53,11 @@ def cyclic(angle: Column, period: float) -> tuple[Column, Column]:
 
 def year_month(year: Column, month: Column) -> Column:
     return (year.cast("int") * 100 + month.cast("int")).cast("int")
+
+
+def duration(seconds: Column) -> Column:
+    """HH:MM:SS of whole seconds."""
+    s = F.floor(seconds).cast("long")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    hours = F.floor(s / 3600)
+    return F.concat_ws(":", F.when(hours < 100, two(hours)).otherwise(hours.cast("string")), two(F.floor(s / 60) % 60), two(s % 60))

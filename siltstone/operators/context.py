@@ -145,3 +145,78 @@ def over_quota(calls: DataFrame, by: Sequence[str], order: Sequence[str], tool:
 def stop_rule(step: Column, searches: Column, blocked: Column) -> Column:
     """Whether a run should end: enough steps, and searches or blocked calls."""
     return (step >= 6) & ((searches >= 6) | (blocked >= 2))
+
+
+def locate(rows: DataFrame, content: Sequence[str], keys: Sequence[str], preferred: Column) -> DataFrame:
+    """(keys, start, end): the lines of each file that a content's first lines (at most twelve) stand on, nearest to ``preferred``."""
+    from .text import find_sequence
+
+    probe = list(content[:12])
+    hit = find_sequence(rows, probe, keys, preferred)
+    # a shorter tail of the probe was found further down: the content began that much before
+    start = F.greatest(F.lit(1), F.col("n") - (len(probe) - F.col("size")))
+    return hit.select(*keys, start.alias("start"), (start + len(content) - 1).alias("end"))
+
+
+def expanded(rows: DataFrame, keys: Sequence[str], anchor: Column, floor: int, steps: Sequence[int] = (160, 240, 320, 400, 480)) -> DataFrame:
+    """(keys, step, chars): the narrowest window of lines around an anchor with at least ``floor`` characters, else the widest. rows: keys, n, line."""
+    chars = F.char_length("line") + 1
+    inside = lambda s: F.coalesce(F.sum(F.when(F.abs(F.col("n") - anchor) <= s // 2, chars)), F.lit(0))
+    sums = rows.groupBy(*keys).agg(*(inside(s).alias(f"_{s}") for s in steps))
+    step, size = F.lit(steps[-1]), F.col(f"_{steps[-1]}")
+    for s in reversed(steps[:-1]):
+        enough = F.col(f"_{s}") >= floor
+        step, size = F.when(enough, s).otherwise(step), F.when(enough, F.col(f"_{s}")).otherwise(size)
+    return sums.select(*keys, step.alias("step"), size.cast("long").alias("chars"))
+
+
+class ContextBuffer:
+    """A context that is built call by call: add, compress, preview, reset. Snippets are (path, start, content, anchor)."""
+
+    def __init__(self, budget: int = 12_000, most: int = 5) -> None:
+        self.budget, self.most = budget, most
+        self.snippets: list[tuple[str, int, list[str], int | None]] = []
+
+    def reset(self) -> None:
+        self.snippets = []
+
+    def preview(self) -> str:
+        return "\n".join(f"{SEPARATOR}{path}\n" + "\n".join(lines) for path, _, lines, _ in self.snippets)
+
+    def compress(self, target: int) -> None:
+        """Shrink every snippet to ``target`` lines (at least 12) around its anchor."""
+        out = []
+        for path, start, lines, anchor in self.snippets:
+            want = max(LEAST_COMPRESSED, min(target, len(lines)))
+            if want < len(lines):
+                at = anchor if anchor is not None else start + len(lines) // 2
+                index = min(len(lines) - 1, max(0, at - start))
+                first = max(0, min(max(0, index - want // 2), len(lines) - want))
+                start, lines = start + first, lines[first : first + want]
+                anchor = min(max(at, start), start + want - 1)
+            out.append((path, start, lines, anchor))
+        self.snippets = out
+
+    def add(self, path: str, start: int, content: str, anchor: int | None = None) -> bool:
+        """Add a snippet; the oldest go beyond ``most``, all shrink until the budget holds; False if the new one doesn't fit even then."""
+        before = list(self.snippets)
+        self.snippets = [*self.snippets, (path, start, content.split("\n"), anchor)][-self.most :]
+        for target in (10**9, 96, 80, 64, 48, 32, 24, 16, 12):
+            self.compress(target)
+            if len(self.preview()) <= self.budget:
+                return True
+        self.snippets = before
+        return False
+
+
+def replayed(calls: DataFrame, by: str, budget: int, most: int = 5) -> DataFrame:
+    """(by, context): buffers after all ``add`` calls of a record in order; calls: by, n, path, start, content. A record's calls are one task."""
+    import pandas as pd
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        buffer = ContextBuffer(budget, most)
+        for r in frame.sort_values("n").itertuples():
+            buffer.add(r.path, int(r.start), r.content)
+        return pd.DataFrame({by: [frame[by].iloc[0]], "context": [buffer.preview()]})
+
+    return calls.groupBy(by).applyInPandas(run, f"{by} {dict(calls.dtypes)[by]}, context string")

@@ -52,17 +52,23 @@ def mae(a: Column, b: Column) -> Column:
 
 
 def baseline_cv(df: DataFrame, first_valid: int) -> DataFrame:
-    """Per fold: rows, device-months, and the baseline's error by row and by month. All folds in one plan."""
-    rows = fold_rows(df, first_valid).select("valid_ym", "role", *KEYS, "target_x2")
-    train = rows.where("role = 'train'")
-    devices = train.groupBy("valid_ym", "deviceId").agg(F.avg("target_x2").alias("device_mean"))
-    overall = train.groupBy("valid_ym").agg(F.avg("target_x2").alias("global_mean"), F.count("*").alias("train_rows"))
-    valid = rows.where("role = 'valid'").join(devices, ["valid_ym", "deviceId"], "left").join(F.broadcast(overall), "valid_ym")
+    """Per fold: rows, device-months, and the baseline's error by row and by month.
+
+    A fold's training mean of a device is the running mean over its months before, so rows aren't copied
+    into folds: one aggregate by device and month, one window over it, and one join back to the rows.
+    """
+    rows = labelled(df).select(*KEYS, "ym", "target_x2")
+    per = rows.groupBy("deviceId", "ym").agg(F.sum("target_x2").alias("s"), F.count("*").alias("n"))
+    past = Window.partitionBy("deviceId").orderBy("ym").rowsBetween(Window.unboundedPreceding, -1)
+    devices = per.select("deviceId", "ym", (F.sum("s").over(past) / F.sum("n").over(past)).alias("device_mean"))
+    # a few dozen months: their window is one small task
+    months = per.groupBy("ym").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    before = Window.orderBy("ym").rowsBetween(Window.unboundedPreceding, -1)
+    months = months.select("ym", (F.sum("s").over(before) / F.sum("n").over(before)).alias("global_mean"), F.sum("n").over(before).alias("train_rows")).where("train_rows is not null")
+    valid = rows.where(F.col("ym") >= first_valid).join(devices.where(F.col("ym") >= first_valid), ["deviceId", "ym"]).join(F.broadcast(months), "ym")
     valid = valid.withColumn("baseline", F.coalesce("device_mean", "global_mean"))
-    months = valid.groupBy("valid_ym", *KEYS).agg(
-        F.avg("target_x2").alias("y"), F.avg("baseline").alias("p"), F.count("*").alias("n"), F.sum(F.abs(F.col("target_x2") - F.col("baseline"))).alias("e"), F.max("train_rows").alias("t")
-    )
-    return months.groupBy("valid_ym").agg(
+    by_month = valid.groupBy("ym", *KEYS).agg(F.avg("target_x2").alias("y"), F.avg("baseline").alias("p"), F.count("*").alias("n"), F.sum(F.abs(F.col("target_x2") - F.col("baseline"))).alias("e"), F.max("train_rows").alias("t"))
+    return by_month.groupBy(F.col("ym").alias("valid_ym")).agg(
         F.max("t").alias("train_rows"),
         F.sum("n").alias("valid_rows"),
         F.count("*").alias("monthly_rows"),

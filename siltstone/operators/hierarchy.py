@@ -124,3 +124,14 @@ def tie_broken(values: DataFrame, edges: DataFrame) -> DataFrame:
         return F.when(~F.coalesce(conflict, F.lit(False)), state).when(up, put(e["p"], 1)).otherwise(put(e["c"], 0))
 
     return rows.crossJoin(ordered).select("row_id", F.explode(F.aggregate("edges", F.col("label"), step)).alias("class", "label"))
+
+
+def messages(nodes: DataFrame, bonds: DataFrame) -> DataFrame:
+    """(g, node, x): each node's feature plus the features of its neighbours and of the bonds to them. nodes: g, node, x; bonds: g, u, v, w (each once)."""
+    both = bonds.select("g", F.col("u").alias("node"), F.col("v").alias("other"), "w").unionAll(bonds.select("g", F.col("v").alias("node"), F.col("u").alias("other"), "w"))
+    near = both.join(nodes.select("g", F.col("node").alias("other"), F.col("x").alias("_x")), ["g", "other"]).groupBy("g", "node").agg(F.sum(F.col("_x") + F.col("w")).alias("m"))
+    return nodes.join(near, ["g", "node"], "left").select("g", "node", (F.col("x") + F.coalesce("m", F.lit(0.0))).alias("x"))
+
+
+def pooled(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy("g").agg(F.avg("x").alias("x"))

@@ -97,9 +97,17 @@ def stratified_sample(df: DataFrame, by: str, fraction: float, keys: Sequence[st
         raise ValueError("fraction must be above 0")
     if fraction >= 1:
         return df
-    order = Window.partitionBy(by).orderBy(F.xxhash64(*keys, F.lit(seed)), *keys)
-    ranked = df.withColumn("_k", F.row_number().over(order)).withColumn("_n", F.count("*").over(Window.partitionBy(by)))
-    return ranked.where(F.col("_k") <= F.bround(F.col("_n") * F.lit(fraction))).drop("_k", "_n")
+    # 4096 equal ranges of the hash: whole ranges are taken until the one in which the number is reached, and only that one is ranked
+    hashed = df.withColumn("_h", F.xxhash64(*keys, F.lit(seed))).withColumn("_b", F.shiftrightunsigned("_h", 52))
+    upto = Window.partitionBy(by).orderBy("_b")
+    counts = hashed.groupBy(by, "_b").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_all", F.sum("_n").over(Window.partitionBy(by)))
+    wanted = F.bround(F.col("_all") * F.lit(fraction)).cast("long")
+    counts = counts.select(by, "_b", (wanted - (F.col("_upto") - F.col("_n"))).alias("_left"), "_n").where("_left > 0")
+    rows = hashed.join(counts, [by, "_b"])
+    whole = rows.where("_left >= _n")
+    edge = rows.where("_left < _n").withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy("_h", *keys))).where("_k <= _left")
+    return whole.select(*df.columns).unionAll(edge.select(*df.columns))
 
 
 def hash_split(df: DataFrame, keys: Sequence[str], share: float = 0.9, seed: int = 42) -> DataFrame:

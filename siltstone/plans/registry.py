@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph_queries, signal_queries, telemetry_queries, text_queries
+from . import graph_queries, more_queries, signal_queries, telemetry_queries, text_queries
 
-_PARTS = (telemetry_queries.R, text_queries.R, graph_queries.R, signal_queries.R)
+_PARTS = (telemetry_queries.R, text_queries.R, graph_queries.R, signal_queries.R, more_queries.R)
 
 
 def queries() -> dict:

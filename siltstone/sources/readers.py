@@ -75,3 +75,12 @@ def images(spark: SparkSession, root: str, limit: int | None = None) -> DataFram
 def lead_map(pairs: DataFrame, known: Sequence[str]) -> DataFrame:
     """(source, lead) in upper case, known leads alone."""
     return pairs.select(F.upper("source").alias("source"), F.upper("lead").alias("lead")).where(F.col("lead").isin(*known))
+
+
+def locate(spark: SparkSession, candidates: Sequence[str], name: str) -> str:
+    """The first of the candidate folders that holds ``name``, on whatever store they are."""
+    for folder in candidates:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return folder
+    raise FileNotFoundError(f"{name} in none of {list(candidates)}")
