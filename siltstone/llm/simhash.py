@@ -39,7 +39,7 @@ from .components import connected_components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: What near_duplicates_removed takes: words of a shingle, bits, and the similarity that is checked.
-STAGE_SHINGLE, STAGE_RADIUS, STAGE_SIMILARITY = 5, 7, 0.8
+STAGE_SHINGLE, STAGE_RADIUS, STAGE_SIMILARITY = 5, 10, 0.8
 #: A shard of more fingerprints than this is cut into parts.
 SHARD_ROWS = 50_000
 #: Sub-trees of at most this many fingerprints are compared at once.
