@@ -25,7 +25,7 @@ def obo_edges(lines: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     edges = rows.select("child", F.trim(F.substring_index(F.substring("line", 6, 1 << 20), " ! ", 1)).alias("parent")).where("child is not null")
     if targets is not None:
         for end in ("child", "parent"):
-            edges = edges.join(F.broadcast(targets.select(F.col("class").alias(end))), end, "left_semi")
+            edges = edges.join(targets.select(F.col("class").alias(end)), end, "left_semi")
     return edges.select("child", "parent")
 
 
@@ -67,7 +67,7 @@ def dag_stats(edges: DataFrame) -> DataFrame:
 
 def propagated(probabilities: DataFrame, edges: DataFrame, how: str) -> DataFrame:
     """(row_id, class, p): ``up`` is the maximum over descendants, ``down`` the minimum over ancestors, each with itself."""
-    c = F.broadcast(closure(edges).select("ancestor", "descendant"))
+    c = closure(edges).select("ancestor", "descendant")
     source, to, fold = ("descendant", "ancestor", F.max) if how == "up" else ("ancestor", "descendant", F.min)
     reached = probabilities.join(c, probabilities["class"] == c[source]).groupBy("row_id", F.col(to).alias("class")).agg(fold("p").alias("p"))
     mine = probabilities.select("row_id", "class", F.col("p").alias("own"))
@@ -77,8 +77,8 @@ def propagated(probabilities: DataFrame, edges: DataFrame, how: str) -> DataFram
 def edge_values(values: DataFrame, edges: DataFrame) -> DataFrame:
     """(row_id, child, parent, p_child, p_parent) for every row and edge with both ends.
 
-    Rows are joined to the (broadcast) edges by the child and then by row and parent."""
-    child = values.join(F.broadcast(edges), values["class"] == edges["child"]).select("row_id", "child", "parent", F.col("p").alias("p_child"))
+    Rows are joined to the edges by the child (Spark broadcasts them where their measured size allows it), then by row and parent."""
+    child = values.join(edges, values["class"] == edges["child"]).select("row_id", "child", "parent", F.col("p").alias("p_child"))
     return child.join(values.select("row_id", F.col("class").alias("parent"), F.col("p").alias("p_parent")), ["row_id", "parent"])
 
 

@@ -241,7 +241,7 @@ def default_leads(signals: DataFrame, leads: list[str], length: int) -> DataFram
 
 def remapped(signals: DataFrame, mapping: DataFrame) -> DataFrame:
     """Leads renamed by (source, lead) rows; those without one keep their name."""
-    return signals.join(F.broadcast(mapping.withColumnRenamed("lead", "new")), F.upper(signals["lead"]) == F.upper(F.col("source")), "left").select("record", F.coalesce("new", "lead").alias("lead"), "v")
+    return signals.join(mapping.withColumnRenamed("lead", "new"), F.upper(signals["lead"]) == F.upper(F.col("source")), "left").select("record", F.coalesce("new", "lead").alias("lead"), "v")
 
 
 TURN = 2 * math.pi

@@ -1,4 +1,4 @@
-"""All queries of the library but those of ``siltstone.llm``."""
+"""All queries of the operators."""
 
 from __future__ import annotations
 

@@ -413,7 +413,7 @@ def txt_suggest(s, d):
 
     x = V.doc(s, d).select("source", "doc_id", "path", F.size(F.split("text", "\n")).alias("total"))
     target = x.groupBy("source").agg(F.min("doc_id").alias("t"))
-    j = x.join(F.broadcast(target), "source")
+    j = x.join(target, "source")
     own = j.where("doc_id = t")
     parts = [own.select("source", "path", F.lit(1).alias("start"), F.least("total", F.lit(320)).alias("end"), F.lit(0).alias("o")), own.select("source", "path", F.greatest(F.lit(1), F.col("total") - 95).alias("start"), F.col("total").alias("end"), F.lit(1).alias("o"))]
     others = j.where("doc_id <> t")
