@@ -8,7 +8,7 @@ from ..operators import context as C
 from ..operators import stats
 from ..operators import text as X
 from . import views as V
-from .common import Registry, d6, r6
+from .common import Registry, d6, r6, scratch
 
 R = Registry()
 
@@ -389,11 +389,13 @@ def join_position(s, d):
     from pyspark.sql import Window
 
     def placed(df, key):
-        # files are small here: the place within a bucket of a range sort plus the rows of the buckets before
-        sorted_ = df.select(key).repartitionByRange(8, key).sortWithinPartitions(key).withColumn("m", F.monotonically_increasing_id()).persist()
-        per = sorted_.groupBy(F.shiftright("m", 33).alias("p")).agg(F.count("*").alias("n"))
+        # the numbers are written down: a range sort that is run again may part the rows elsewhere
+        path = scratch(s, "places")
+        df.select(key).repartitionByRange(8, key).sortWithinPartitions(key).withColumn("m", F.monotonically_increasing_id()).write.parquet(path)
+        sorted_ = s.read.parquet(path)
+        per = sorted_.groupBy(F.shiftright("m", 33).alias("p")).agg(F.count("*").alias("n"), F.min("m").alias("first"))
         shift = per.withColumn("s", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        local = F.col("m") - F.shiftleft(F.shiftright("m", 33), 33)
+        local = F.col("m") - F.col("first")
         return sorted_.withColumn("p", F.shiftright("m", 33)).join(F.broadcast(shift), "p").select((local + F.col("s") + 1).alias("k"), key)
 
     return placed(V.table(s, d, "documents"), "doc_id").join(placed(V.table(s, d, "benchmark"), "item_id"), "k")
