@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import clip
+from .stats import quantiles
 
 KEYS = ["deviceId", "year", "month"]
 
@@ -91,9 +92,11 @@ def recency(df: DataFrame, low: float = 0.8, span: float = 0.4) -> DataFrame:
 
 def warmth(df: DataFrame, column: str, low: float = 0.7, span: float = 0.6) -> DataFrame:
     """``warmth``: from low at the 10 % quantile of a column to low + span at the 90 % quantile."""
-    ends = df.agg(F.percentile(column, F.lit(0.1)).alias("_a"), F.percentile(column, F.lit(0.9)).alias("_b"))
-    share = clip((F.col(column) - F.col("_a")) / F.when(F.col("_b") - F.col("_a") < 1e-6, 1e-6).otherwise(F.col("_b") - F.col("_a")), 0.0, 1.0)
-    return df.crossJoin(F.broadcast(ends)).withColumn("warmth", F.lit(low) + F.lit(span) * F.coalesce(share, F.lit(0.5))).drop("_a", "_b")
+    bottom, top = quantiles(df, column, (0.1, 0.9))
+    if bottom is None:
+        return df.withColumn("warmth", F.lit(low + span * 0.5))
+    share = clip((F.col(column) - bottom) / max(top - bottom, 1e-6), 0.0, 1.0)
+    return df.withColumn("warmth", F.lit(low) + F.lit(span) * F.coalesce(share, F.lit(0.5)))
 
 
 def weighted(df: DataFrame, mode: str, warm_column: str) -> DataFrame:

@@ -119,3 +119,42 @@ def first_occurrences(df: DataFrame, key: Sequence[str], order: Sequence[str]) -
     """The first row of each key in the given (total) order."""
     w = Window.partitionBy(*key).orderBy(*order)
     return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+
+
+#: Values that one task may hold for an exact quantile, and bins of a pass.
+DIRECT_VALUES, BINS = 1_000_000, 4096
+
+
+def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float | None]:
+    """Exact quantiles with linear interpolation; missing values don't count.
+
+    A pass counts the values in equal bins between the bounds and goes on in the bin that holds the rank, until
+    few enough values are left to rank them, so no task holds all distinct values however many there are.
+    """
+    values = df.select(F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    n, least, most = values.agg(F.count("*"), F.min("x"), F.max("x")).first()
+
+    def ranked(rank: int) -> float:
+        low, high, before, count = least, most, 0, n
+        while low < high and count > DIRECT_VALUES:
+            place = F.least(F.floor((F.col("x") - low) / ((high - low) / BINS)), F.lit(BINS - 1))
+            bins = values.where(F.col("x").between(low, high)).groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("b").collect()
+            for b in bins:  # at most BINS rows
+                if rank < before + b["n"]:
+                    break
+                before += b["n"]
+            low, high, count = b["low"], b["high"], b["n"]
+        if low == high:
+            return low
+        return values.where(F.col("x").between(low, high)).agg(F.percentile("x", F.lit((rank - before) / (count - 1)))).first()[0]
+
+    out: list[float | None] = []
+    for p in shares:
+        if not n:
+            out.append(None)
+            continue
+        at = p * (n - 1)
+        k = int(at)
+        a = ranked(k)
+        out.append(a if at == k else a + (ranked(k + 1) - a) * (at - k))
+    return out

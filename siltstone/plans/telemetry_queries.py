@@ -298,7 +298,7 @@ _fc("agg_pred_month", "SELECT deviceId, year, month, avg(target_x2) AS target_x2
 _fc("win_group_size", "SELECT deviceId, ym, t5, target_x2, 1.0::DOUBLE/count(*) OVER (PARTITION BY deviceId, year, month) AS w FROM l", ["w", "t5", "target_x2"], lambda x: x.select("deviceId", "ym", "t5", "target_x2", forecast.group_weight().alias("w")))
 _REC = "(SELECT min(ym) AS a, max(ym) AS b FROM l) e"
 _fc("win_recency", f"SELECT deviceId, ym, t5, 0.8 + 0.4*(ym-a)/CASE WHEN b-a < 1 THEN 1 ELSE b-a END AS recency FROM l, {_REC}", ["recency", "t5"], lambda x: forecast.recency(x).select("deviceId", "ym", "t5", "recency"))
-_fc("agg_quantile", "SELECT quantile_cont(t5, 0.1) AS q10, quantile_cont(t5, 0.9) AS q90 FROM l", ["q10", "q90"], lambda x: x.agg(F.percentile("t5", F.lit(0.1)).alias("q10"), F.percentile("t5", F.lit(0.9)).alias("q90")))
+_fc("agg_quantile", "SELECT quantile_cont(t5, 0.1) AS q10, quantile_cont(t5, 0.9) AS q90 FROM l", ["q10", "q90"], lambda x: x.sparkSession.createDataFrame([tuple(stats.quantiles(x, "t5", (0.1, 0.9)))], "q10 double, q90 double"))
 _WT = f"""SELECT deviceId, ym, t5, target_x2, CASE WHEN p < 1e-4 THEN 1e-4 WHEN p > 10 THEN 10 ELSE p END AS weight FROM (SELECT l.*, (0.8 + 0.4*(ym-a)/CASE WHEN b-a < 1 THEN 1 ELSE b-a END)
  * (0.7 + 0.6*CASE WHEN (t5-c)/(d-c) < 0 THEN 0 WHEN (t5-c)/(d-c) > 1 THEN 1 ELSE (t5-c)/(d-c) END) / count(*) OVER (PARTITION BY deviceId, year, month) AS p FROM l, {_REC}, (SELECT quantile_cont(t5,0.1) AS c, quantile_cont(t5,0.9) AS d FROM l) q)"""
 _fc("win_weights", _WT, ["t5", "target_x2", "weight"], lambda x: forecast.weighted(x, "group_recency_warm", "t5").select("deviceId", "ym", "t5", "target_x2", "weight"))

@@ -187,3 +187,25 @@ def test_unknown_json_keys_are_an_error(spark, tmp_path):
     (tmp_path / "y.json").write_text('{"context": "a", "other": 1}\n')
     with pytest.raises(Exception, match="unknown keys"):
         readers.json_lines(spark, str(tmp_path / "y.json"), schemas.PREDICTIONS).collect()
+
+
+def test_quantiles_by_bins_are_exact(spark, monkeypatch):
+    import numpy as np
+
+    rng = random.Random(8)
+    x = [rng.choice([rng.gauss(0, 1), 5.0, 1e6]) for _ in range(3000)]
+    d = spark.createDataFrame([(v,) for v in x] + [(None,), (float("nan"),)], "v double")
+    monkeypatch.setattr(stats, "DIRECT_VALUES", 50)
+    got = stats.quantiles(d, "v", (0.0, 0.1, 0.5, 0.77, 1.0))
+    assert got == pytest.approx(np.quantile(x, (0.0, 0.1, 0.5, 0.77, 1.0)).tolist())
+    assert stats.quantiles(d.where("false"), "v", (0.5,)) == [None]
+
+
+def test_context_buffer_keeps_its_budget():
+    b = context.ContextBuffer(budget=400, most=3)
+    for i in range(5):
+        assert b.add(f"p{i}", 1, "\n".join(f"line {k}" for k in range(60)), 30)
+    assert len(b.preview()) <= 400 and len(b.snippets) == 3 and all(len(s[2]) >= 12 for s in b.snippets)
+    assert not b.add("big", 1, "x" * 1000)
+    b.reset()
+    assert b.preview() == ""
