@@ -13,8 +13,8 @@ entities are checked, and each that collides is hashed anew with a higher attemp
 those few have an attempt above zero; they are joined to the texts by broadcast up to
 ``BROADCAST_ROWS`` of them and by a shuffle beyond.
 
-Null and empty texts stay as they are. Repeated rows each give a row. Key-less columns of ``docs`` are kept by
-``with_surrogates`` whatever their names, but for ``text`` and, if there is one, ``n_chars``.
+Null and empty texts stay as they are. Repeated rows each give a row. All columns of ``docs`` are kept by
+``with_surrogates`` whatever their names; ``text`` and, if there is one, ``n_chars`` follow the replacement.
 """
 
 from __future__ import annotations

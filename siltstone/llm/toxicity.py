@@ -118,8 +118,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
                 names=["doc_id", "f", "p", "toxic"],
             )
 
-    # the broadcast side has at most `rows` rows
-    return common.materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, f array<string>, p array<boolean>, toxic int"), "sample")
+    # the broadcast side has at most `rows` rows; of an id that documents repeat one row is learned from
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    return common.materialize(found.mapInArrow(run, "doc_id long, f array<string>, p array<boolean>, toxic int").dropDuplicates(["doc_id"]), "sample")
 
 
 class Scorer:
