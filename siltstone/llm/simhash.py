@@ -81,56 +81,58 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def bk_forest(values: np.ndarray, radius: int = RADIUS, apart: np.ndarray | None = None) -> np.ndarray:
+def bk_forest(values: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """For each of distinct uint64 ``values`` the place of its group's first member, linked within ``radius``.
 
-    ``apart`` (0 or 1 for each value) asks only for links between the two sides and within either.
+    A sub-tree whose nodes and queries are one group already is passed over, so a dense cloud of fingerprints costs
+    about one comparison each, not one for each pair.
     """
     n = len(values)
-    parent = np.arange(n)
+    group = np.arange(n)
 
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    def link(a: int, b: int) -> None:
-        a, b = find(a), find(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
+    def link(places: np.ndarray) -> None:
+        """Make one group of the groups of some places: a pass over the shard for each link that joins two groups, n - 1 at most."""
+        found = np.unique(group[places])
+        if len(found) > 1:
+            group[np.isin(group, found)] = found[0]
 
     todo = [(np.arange(n), np.arange(n))]  # (nodes of a sub-tree, queries that may reach it)
     while todo:
         nodes, queries = todo.pop()
         if not len(queries):
             continue
+        own = group[nodes[0]]
+        if (group[nodes] == own).all() and (group[queries] == own).all():
+            continue  # whatever is found here is linked already
         if len(nodes) <= LEAF:
             for k in range(0, len(queries), 4096):
                 q = queries[k : k + 4096]
                 near = np.bitwise_count(values[nodes][:, None] ^ values[q][None, :]) <= radius
-                near &= nodes[:, None] < q[None, :]
-                for i, j in zip(*np.nonzero(near), strict=True):
-                    link(int(nodes[i]), int(q[j]))
+                near &= group[nodes][:, None] != group[q][None, :]
+                for i in np.flatnonzero(near.any(axis=1)):
+                    link(np.append(q[near[i]], nodes[i]))
             continue
         root, rest = nodes[0], nodes[1:]
         to_query = np.bitwise_count(values[queries] ^ values[root]).astype(np.int16)
-        for q in queries[to_query <= radius]:
-            link(int(root), int(q))
+        link(np.append(queries[to_query <= radius], root))
         key = np.bitwise_count(values[rest] ^ values[root])
         for k in np.unique(key):
             todo.append((rest[key == k], queries[np.abs(to_query - np.int16(k)) <= radius]))
-    return np.array([find(i) for i in range(n)], np.int64) if n else parent
+    return group
 
 
 def _blocks_for(n: int, radius: int) -> int:
-    """The number of blocks that costs least: each table ships every row (1 us) and compares it within its shard (2 ns each)."""
+    """The number of blocks that costs least: each table ships every row (1 us) and compares it within its shard (2 ns each).
+
+    Keys have ten bits at least, so that a few million fingerprints and few are dealt alike."""
+
+    def bits(blocks: int) -> float:
+        return 64 * (blocks - radius) / blocks
 
     def cost(blocks: int) -> float:
-        bits = 64 * (blocks - radius) / blocks
-        return comb(blocks, radius) * (1e-6 + 2e-9 * n / 2**bits)
+        return comb(blocks, radius) * (1e-6 + 2e-9 * n / 2 ** bits(blocks))
 
-    return min(range(radius + 1, radius + 6), key=cost)
+    return min((b for b in range(radius + 1, radius + 7) if bits(b) >= 10), key=cost)
 
 
 def shard_links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
