@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -44,6 +44,8 @@ STAGE_SHINGLE, STAGE_RADIUS, STAGE_SIMILARITY = 5, 10, 0.8
 SHARD_ROWS = 50_000
 #: Sub-trees of at most this many fingerprints are compared at once.
 LEAF = 48
+#: The texts of a component, and their bytes, that one task settles among themselves in a round; also what a part of the rest holds.
+FIRST_TEXTS, FIRST_BYTES = 512, 4 << 20
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -206,23 +208,97 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = SHINGLE, radius: int
     return prints.join(component, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingles_of(text: str | None, shingle: int = STAGE_SHINGLE) -> set:
+    """The set of a text's word shingles."""
+    w = (text or "").encode("utf-8").translate(_LOWER).split()
+    return {b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
+
+
+def _jaccard(x: set, y: set, least: float = 0.0) -> float:
+    """Jaccard similarity of two sets (1 if both are empty); 0 where their sizes alone say that it is below ``least``."""
+    if not x and not y:
+        return 1.0
+    if min(len(x), len(y)) < least * max(len(x), len(y)):
+        return 0.0
+    both = len(x & y)
+    return both / (len(x) + len(y) - both)
+
+
 def similarity(a: str | None, b: str | None, shingle: int = STAGE_SHINGLE) -> float:
     """Jaccard similarity of two texts' sets of word shingles (1 if neither has one)."""
+    return _jaccard(shingles_of(a, shingle), shingles_of(b, shingle))
+
+
+def _compared(rows: DataFrame, shingle: int, least: float) -> DataFrame:
+    """root, doc, th, near of ``rows`` (root, part, kept, doc, th, text): whether a text is similar to a text that stays.
 
-    def of(text: str | None) -> set:
-        w = (text or "").encode("utf-8").translate(_LOWER).split()
-        return {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
+    Within each (root, part) the texts marked ``kept`` (true: stays for sure) come first, the others in order of
+    (doc, th). A text with a null mark that is near none of those before it stays, and later ones are compared
+    with it too; one marked false is only compared with the kept ones. A task holds the shingles of the texts that stay.
+    """
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("root", "part", F.when(F.col("kept"), 0).when(F.col("kept").isNull(), 1).otherwise(2).alias("mark"), "doc", "th", "text")
+    rows = rows.repartition(count, "root", "part").sortWithinPartitions("root", "part", "mark", "doc", "th")
 
-    x, y = of(a), of(b)
-    return len(x & y) / len(x | y) if x or y else 1.0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, stay = None, []
+        for batch in batches:
+            roots, parts, marks = (batch.column(i).to_pylist() for i in range(3))
+            near = []
+            for root, part, mark, text in zip(roots, parts, marks, batch.column(5).to_pylist(), strict=True):
+                if (root, part) != group:
+                    group, stay = (root, part), []
+                own = shingles_of(text, shingle)
+                near.append(mark > 0 and any(_jaccard(own, x, least) >= least for x in stay))
+                if mark == 0 or (mark == 1 and not near[-1]):
+                    stay.append(own)
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(4), pa.array(near, pa.bool_())], names=["root", "doc", "th", "near"])
+            yield out.filter(pa.array([m != 0 for m in marks], pa.bool_()))
+
+    return rows.mapInArrow(run, "root long, doc long, th long, near boolean")
+
+
+def near_texts(members: DataFrame, shingle: int, least: float) -> list[DataFrame]:
+    """(doc, th) of the texts that are similar to one that stays, in tables; members: root, doc, th, text, written already.
+
+    In order of (doc, th) a text of a component stays unless it is ``least`` similar to one that stays already. Each
+    round settles the first texts of every component among themselves (all of them, unless they are more than
+    ``FIRST_TEXTS`` or ``FIRST_BYTES``) and compares the rest, in parts, with those of them that stay; the rest that is near none
+    is the next round's.
+    """
+    out = []
+    here = ["root", "doc", "th"]
+    while True:
+        sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"))
+        sizes = common.materialize(sizes, "sizes")
+        large = sizes.where((F.col("n") > FIRST_TEXTS) | (F.col("bytes") > FIRST_BYTES)).withColumn("parts", F.ceil(F.greatest(F.col("n") / FIRST_TEXTS, F.col("bytes") / FIRST_BYTES)).cast("int"))
+        if large.isEmpty():
+            last = _compared(members.select(*here, "text", F.lit(0).alias("part"), F.lit(None).cast("boolean").alias("kept")), shingle, least)
+            return [*out, common.materialize(last.where("near").select("doc", "th"), "near")]
+        order = Window.partitionBy("root").orderBy("doc", "th")
+        ranked = members.join(common.sized(large.select("root")), "root", "left_semi").select(*here, F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+        ranked = ranked.withColumn("k", F.row_number().over(order)).withColumn("before", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+        cut = ranked.where((F.col("k") <= FIRST_TEXTS) & ((F.col("before") < FIRST_BYTES) | (F.col("k") == 1))).groupBy("root").agg(F.max(F.struct("doc", "th")).alias("cut"))
+        cut = common.materialize(cut.join(large, "root").select("root", "cut", "parts"), "cuts")
+        # components that are settled whole have no cut
+        marked = members.join(common.sized(cut), "root", "left").withColumn("first", F.coalesce(F.struct("doc", "th") <= F.col("cut"), F.lit(True)))
+        first = marked.where("first").select(*here, "text", F.lit(0).alias("part"), F.lit(None).cast("boolean").alias("kept"))
+        settled = common.materialize(_compared(first, shingle, least), "settled")
+        out.append(settled.where("near").select("doc", "th"))
+        rest = marked.where("not first").select(*here, "text", F.pmod(F.xxhash64("doc", "th"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("kept"))
+        stay = marked.where("first and cut is not null").join(settled.where("not near").select(*here), here, "left_semi")
+        stay = stay.select(*here, "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("kept"))
+        judged = common.materialize(_compared(stay.unionByName(rest), shingle, least), "judged")
+        out.append(judged.where("near").select("doc", "th"))
+        members = common.materialize(members.join(judged.where("not near").select(*here), here, "left_semi"), "members")
 
 
 def near_duplicates_removed(docs: DataFrame, shingle: int = STAGE_SHINGLE, radius: int = STAGE_RADIUS, least: float = STAGE_SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group of equal or near-equal texts, with all columns.
 
-    Fingerprints propose groups; the row with the smallest doc_id (null ids last, then by a hash of the text) stays. Another text of its
-    group goes if its shingles are at least ``least`` similar to those of the text that stays, which is one comparison a text, and otherwise stays
-    itself. Of equal texts one row stays, whichever way.
+    Fingerprints propose groups. In order of doc_id (null ids last, then by a hash of the text) a row stays unless its
+    shingles are at least ``least`` similar to those of a text of its group that stays already, so no two texts of a group that
+    stay are as similar as that. Of equal texts one row stays, whichever way.
     """
     key = [F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_doc"), F.xxhash64("text").alias("_th")]
     common.small_batches(docs.sparkSession)
@@ -235,26 +311,15 @@ def near_duplicates_removed(docs: DataFrame, shingle: int = STAGE_SHINGLE, radiu
     prints = common.materialize(docs.select(*key, "text").mapInArrow(run, "doc long, th long, fp long"), "prints")
     texts = prints.groupBy("fp", "th").agg(F.min("doc").alias("doc"), F.count("*").alias("n"))
     texts = common.materialize(texts.join(roots_of(prints, radius), "fp"), "texts")
-    several = texts.groupBy("root").agg(F.min(F.struct("doc", "th")).alias("kept"), F.count("*").alias("texts")).where("texts > 1")
-    pairs = common.materialize(texts.join(several, "root").where("th != kept.th").select("doc", "th", F.col("kept.doc").alias("kept_doc"), F.col("kept.th").alias("kept_th")), "pairs")
-    keyed = docs.select(*key, "text")
-    known = pairs.count()
-    few = (lambda x: F.broadcast(x)) if known <= common.BROADCAST_ROWS else (lambda x: x)
-    mine = keyed.join(few(pairs.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"))), ["_doc", "_th"], "left_semi").dropDuplicates(["_doc", "_th"])
-    theirs = keyed.join(few(pairs.select(F.col("kept_doc").alias("_doc"), F.col("kept_th").alias("_th")).distinct()), ["_doc", "_th"], "left_semi").dropDuplicates(["_doc", "_th"])
-    mine = mine.select(F.col("_doc").alias("doc"), F.col("_th").alias("th"), F.col("text").alias("a"))
-    theirs = theirs.select(F.col("_doc").alias("kept_doc"), F.col("_th").alias("kept_th"), F.col("text").alias("b"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = [similarity(a, b, shingle) >= least for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["doc", "th"]).filter(pa.array(near, pa.bool_()))
-
-    joined = pairs.join(mine, ["doc", "th"]).join(theirs, ["kept_doc", "kept_th"]).select("doc", "th", "a", "b")
-    near = common.materialize(joined.mapInArrow(compare, "doc long, th long"), "near")
+    several = texts.groupBy("root").agg(F.count("*").alias("texts")).where("texts > 1").select("root")
+    pairs = common.materialize(texts.join(several, "root").select("root", F.col("doc").alias("_doc"), F.col("th").alias("_th")), "pairs")
+    members = docs.select(*key, "text").join(common.sized(pairs), ["_doc", "_th"]).dropDuplicates(["_doc", "_th"])
+    members = common.materialize(members.select("root", F.col("_doc").alias("doc"), F.col("_th").alias("th"), "text"), "members")
     # of each text the rows of other ids go; of a near text all rows do
     gone = prints.join(texts.where("n > 1").select("fp", "th", F.col("doc").alias("first")), ["fp", "th"]).where("doc != first").select("doc", "th")
-    gone = common.materialize(gone.unionAll(near).distinct().select(F.col("doc").alias("_doc"), F.col("th").alias("_th")), "gone")
+    for near in near_texts(members, shingle, least):
+        gone = gone.unionAll(near)
+    gone = common.materialize(gone.distinct().select(F.col("doc").alias("_doc"), F.col("th").alias("_th")), "gone")
     columns = docs.columns
     rest = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), *key).join(common.sized(gone), ["_doc", "_th"], "left_anti")
     again = prints.groupBy("doc", "th").count().where("count > 1").select(F.col("doc").alias("_doc"), F.col("th").alias("_th"))

@@ -346,6 +346,31 @@ def test_stage_keeps_one_of_each_group(spark, odd, empty):
     assert simhash.near_duplicates_removed(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [512, 3])
+def test_stage_compares_all_of_a_group(spark, monkeypatch, most):
+    """Texts that are not similar to the group's first one but to each other: each stays or goes as a greedy pass says."""
+    monkeypatch.setattr(simhash, "FIRST_TEXTS", most, raising=False)
+    monkeypatch.setattr(simhash, "roots_of", lambda prints, radius: prints.select("fp").distinct().withColumn("root", F.lit(0).cast("long")))
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(9999)}" for _ in range(400)]
+
+    def changed(words, starts):
+        return [f"x{i}" if i in starts else w for i, w in enumerate(words)]
+
+    texts = [base]
+    for k in range(3):
+        far = changed(base, set(range(3 + k, 400, 41 - k)))
+        texts += [far, changed(far, {7 * k + 100}), changed(far, {7 * k + 300})]
+    texts = [" ".join(t) for t in texts]
+    stay = []
+    for i, t in enumerate(texts):
+        if all(simhash.similarity(t, texts[j]) < 0.8 for j in stay):
+            stay.append(i)
+    assert stay == [0, 1, 4, 7]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    assert sorted(r["doc_id"] for r in simhash.near_duplicates_removed(docs).collect()) == stay
+
+
 # 7: personal data
 
 PII = [
