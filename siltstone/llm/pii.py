@@ -31,10 +31,11 @@ KEY = "siltstone"
 BROADCAST_ROWS = 10_000
 ROUNDS = 20
 
-#: Kinds and their patterns, in order of precedence.
+#: Kinds and their patterns, in order of precedence. A secret's value goes up to its closing quote or white space, without
+#: punctuation at its end, and has six signs or more.
 KINDS = (
     ("email", r"(?<![\w.%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+"),
-    ("secret", r"(?<![\w])(?i:password|passwd|pwd|secret|api[_\-]?key|access[_\-]?key|token)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"'.,;]{6,200}[\"']?"),
+    ("secret", r"(?<![\w])(?i:password|passwd|pwd|secret|api[_\-]?key|access[_\-]?key|token)\s{0,3}[=:]\s{0,3}(?:\"[^\s\"]{6,}+\"|'[^\s']{6,}+'|[\"']?(?=[^\s\"']{5,}?[^\s\"'.,;])(?:[.,;]*+[^\s\"'.,;]++)++[\"']?)"),
     ("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("hex", r"(?<![A-Za-z0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
@@ -51,7 +52,7 @@ MEN = "Adam Boris Carl David Emil Franz Georg Hugo Ivan Jonas Karl Leo Max Nils
 SURNAMES = "Abel Berg Cole Dorn Ebert Falk Grant Hale Innes Jung Kern Lang Moore Nagel Orth Pratt".split()
 
 #: A text without any of these has no entity; each alternative is one look at a sign in most places.
-_MAY_HAVE = r"[0-9@=:]|[MFHS](?:rs|r|s|iss|err|rau|adame|onsieur|eñora|eñor)\.? \p{Lu}|[0-9a-f]{32}"
+_MAY_HAVE = r"[0-9@=:]|AKIA|ASIA|[MFHS](?:rs|r|s|iss|err|rau|adame|onsieur|eñora|eñor)\.? \p{Lu}|[0-9a-f]{32}"
 #: Entities begin where no word goes on, which rules out most places before any kind is tried.
 PATTERN = r"(?<!\w)(?:" + "|".join(f"(?:{p})" for _, p in KINDS) + ")"
 _ALNUM = r"[^\p{L}\p{N}]"
