@@ -186,6 +186,21 @@ def test_cross_parsing_against_brute_force():
         assert got[i] == want
 
 
+def test_language_learns_whole_texts(spark):
+    """Texts of a long header that all languages share are told apart by what follows it; the learned text doesn't shrink with the languages."""
+    rng = random.Random(4)
+    header = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(600))
+    words = {f"l{k:02}": ["".join(rng.choices("abcdefgh", k=6)) for _ in range(40)] for k in range(12)}
+    docs = [(100 * k + i, header + " " + " ".join(rng.choices(words[x], k=200)), x) for k, x in enumerate(words) for i in range(6)]
+    samples = language.learned_samples(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert all(set(samples[x].split("\n")) <= {t for _, t, y in docs if x == y} for x in words)
+    parser = language.Parser(samples)
+    new = [" ".join(rng.choices(words[x], k=40)) for x in words]
+    assert parser.predict(new)[0] == sorted(words)
+    codes, _ = parser.encode(new[3])
+    assert parser.phrases([codes[:200]])[0].tolist() == [naive_phrases(bytes(codes[:200]), bytes(parser.encode(samples[x])[0])) for x in sorted(words)]
+
+
 def test_language_held_out(spark, sf):
     d = sf.replace("sf0.001", "sf0.01")
     docs = common.table(spark, d, "documents")
