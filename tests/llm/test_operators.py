@@ -479,6 +479,36 @@ def test_neighbours_recall_and_order(spark):
     assert hit >= 0.95 * 20 * len(got)
 
 
+def brute_neighbours(data, k=20):
+    """{(query_id, ...)}: for every query row its k nearest other rows of the same length, by (inner product, smaller id)."""
+    ok = [(i, np.array(v, float)) for i, v in data if i is not None and v is not None and None not in v and np.isfinite(v).all() and np.any(v)]
+    out = []
+    for a, (i, v) in enumerate(ok):
+        if i % 20 == 0:
+            near = sorted((-float((v * w).sum()), j) for b, (j, w) in enumerate(ok) if b != a and len(w) == len(v))[:k]
+            out += [(i, r, j, -s) for r, (s, j) in enumerate(near, 1)]
+    return out
+
+
+def test_neighbours_of_repeated_ids_mixed_lengths_and_clashing_columns(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    data = [(i % 40, rng.integers(-4, 5, 6).astype(float).tolist()) for i in range(120)] + [(i, rng.integers(-4, 5, 3).astype(float).tolist()) for i in range(200, 230)]
+    data += [(20, None), (20, [0.0] * 6), (60, [1.0, None]), (60, [float("inf"), 1.0]), (400, [2.0])]
+    spark.createDataFrame([(i, v, 7, "x", 1.5) for i, v in data], "vec_id long, embedding array<double>, row int, v string, score double").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = [tuple(r) for r in neighbours.op8_neighbours(spark, str(tmp_path)).collect()]
+    want = brute_neighbours(data)
+    # two rows ask for ids 0 and 20 of each length; ranks and scores are whole, and few of the nearest are missed
+    assert Counter((q, r) for q, r, _, _ in got) == Counter((q, r) for q, r, _, _ in want)
+    assert sum((Counter((q, s) for q, _, _, s in got) & Counter((q, s) for q, _, _, s in want)).values()) >= 0.9 * len(want)
+
+
+def test_query_recall_on_the_given_table(spark, sf):
+    table = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    want = {(i, j) for i, _, j, _ in brute_neighbours([(r[0], r[1]) for r in table])}
+    got = {(r["query_id"], r["vec_id"]) for r in neighbours.op8_neighbours(spark, sf).collect()}
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
 def test_few_candidates_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 1.0]), (20, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.nearest(few).collect())
