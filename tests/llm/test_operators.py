@@ -90,10 +90,32 @@ def test_substring_on_odd_rows(spark, odd, empty):
     assert len(words_of(texts[1][0])) == 120
 
 
-def test_subtree_names_equal_windows():
-    ids = np.array([1, 2, 3, 1, 2, 3, 1, 2, 3, 9], np.int64)
-    name = substring._named(ids, 3)
-    assert name[0] == name[3] == name[6] and name[1] == name[4] and name[0] != name[1] != name[5]
+def test_a_subtree_knows_equal_windows_and_their_depth():
+    spans = [b"a b c d e", b"x b c d y", b"a b c d q"]  # suffixes at c
+    tree = substring.Subtree(spans, np.array([2, 2, 2]), 3)
+    words = [s.split() for s in spans]
+    leaf, first, node = tree.windows()
+    named = {}
+    for u, j, k in zip(leaf.tolist(), first.tolist(), node.tolist(), strict=True):
+        named.setdefault(k, set()).add(tuple(words[u][j : j + 3]))
+    assert all(len(x) == 1 for x in named.values())
+    assert len(named) == len({x for v in named.values() for x in v})
+    # c d is shared by all, c d and a word more by none
+    assert len(set(tree.after[:, 2].tolist())) == 1 and len(set(tree.after[:, 3].tolist())) == 3
+
+
+@pytest.mark.parametrize("heavy,chunk", [(2, 1 << 21), (4096, 200), (2, 200)])
+def test_lengthened_prefixes_and_small_chunks_give_the_same(spark, monkeypatch, heavy, chunk):
+    monkeypatch.setattr(substring, "HEAVY", heavy)
+    monkeypatch.setattr(substring, "CHUNK_BYTES", chunk)
+    rng = random.Random(4)
+    common_part = [f"c{i}" for i in range(30)]
+    docs = [(i, " ".join([rng.choice("pq")] * 3 + common_part[: rng.randrange(18, 31)] + [rng.choice("rst") for _ in range(25)])) for i in range(80)]
+    docs += [(200, docs[3][1])] * 40 + [(None, docs[4][1]), (None, "n " * 60), (None, "m " * 60)]
+    out = substring.remove_repeats(spark.createDataFrame(docs, DOCS).repartition(5))
+    want = {(d, " ".join(kept)) for (d, _), (_, kept) in brute_kept([x for x in docs if x[0] is not None], 20).items()}
+    got = {(r["doc_id"], r["text"]) for r in out.collect() if r["doc_id"] is not None}
+    assert got == want and out.count() == len(docs)
 
 
 # 2: quality
