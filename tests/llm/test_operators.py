@@ -383,11 +383,30 @@ def test_stage_keeps_one_of_each_group(spark, odd, empty):
     assert simhash.near_duplicates_removed(empty).count() == 0
 
 
+def test_stage_finds_nearly_all_near_pairs(spark):
+    rng = random.Random(9)
+    docs, pairs = [], 0
+    for i in range(150):
+        w = [f"v{rng.randrange(5000)}" for _ in range(rng.randrange(60, 300))]
+        v = list(w)
+        for k in rng.sample(range(len(v)), max(1, len(v) // 52)):
+            v[k] = f"z{rng.randrange(5000)}"
+        pairs += simhash.similarity(" ".join(w), " ".join(v)) >= 0.8
+        docs += [(2 * i + 1, " ".join(v)), (2 * i, " ".join(w))]
+    low = sum(0.8 <= simhash.similarity(docs[k][1], docs[k + 1][1]) < 0.9 for k in range(0, 300, 2))
+    assert low > 80  # most are near the limit
+    kept = {r["doc_id"] for r in simhash.near_duplicates_removed(spark.createDataFrame(docs, DOCS)).select("doc_id").collect()}
+    text = dict(docs)
+    lost = {i for i in text if i not in kept}
+    assert all(i % 2 and simhash.similarity(text[i], text[i - 1]) >= 0.8 for i in lost)
+    assert len(lost) >= 0.9 * pairs
+
+
 @pytest.mark.parametrize("most", [512, 3])
 def test_stage_compares_all_of_a_group(spark, monkeypatch, most):
     """Texts that are not similar to the group's first one but to each other: each stays or goes as a greedy pass says."""
     monkeypatch.setattr(simhash, "FIRST_TEXTS", most, raising=False)
-    monkeypatch.setattr(simhash, "roots_of", lambda prints, radius: prints.select("fp").distinct().withColumn("root", F.lit(0).cast("long")))
+    monkeypatch.setattr(simhash, "roots_of", lambda prints, radius, more=None: prints.select("fp").distinct().withColumn("root", F.lit(0).cast("long")))
     rng = random.Random(3)
     base = [f"w{rng.randrange(9999)}" for _ in range(400)]
 
