@@ -5,11 +5,16 @@ put together again with surrogates in their places, so nothing that a surrogate
 like is replaced again. A surrogate comes from a keyed hash of the entity's kind and
 normal form and keeps its kind and format: digits become digits, letters letters of the
 same case and script, hexadecimal stays so, separators stay where they are; network addresses stay
-addresses, card numbers keep their issuer's digit and check sum, names keep title, gender and script.
+addresses, card numbers keep their issuer's digit and check sum, street addresses their kind of street.
+
+A person is found by a title. A given name and a surname have a surrogate each (kinds ``given`` and ``surname``), made of syllables of
+their script, a given name's by the gender of its title, a Cyrillic or Greek surname's by the gender of its ending. So all forms of a
+name agree: once a text has ``Mr. John Smith``, its ``Mr. Smith``, ``John Smith`` and ``Smith`` are replaced alike. Names
+without a title anywhere in their text aren't found.
 
 The same entity (whatever its case or separators) gets the same surrogate in all texts. Distinct
 entities must get distinct ones, and none that is an entity itself: all distinct
-entities are checked, and each that collides is hashed anew with a higher attempt, until none does. Only
+entities, with both parts of names, are checked, and each that collides is hashed anew with a higher attempt (names grow longer with it), until none does. Only
 those few have an attempt above zero; they are joined to the texts by broadcast up to
 ``BROADCAST_ROWS`` of them and by a shuffle beyond.
 
@@ -43,20 +48,51 @@ KINDS = (
     ("card", r"(?<![\w\-])\d(?:[ \-]?\d){12,18}(?![\w\-])"),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\w)"),
     ("ip", r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"),
-    ("name", r"(?<!\p{L})(?:Mrs|Mr|Ms|Miss|Herr|Frau|Madame|Monsieur|Señora|Señor)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?"),
+    ("address", r"(?<![\w.])\d{1,5} (?:\p{Lu}\p{Ll}+ ){1,3}(?:Street|Avenue|Road|Lane|Drive|Boulevard|Court|Square|St|Ave|Rd|Blvd)(?!\p{L})|(?<!\p{L})\p{Lu}\p{Ll}+(?:straße|strasse|weg|platz|gasse) \d{1,4}[a-z]?(?![\p{L}\p{N}])|(?<![\w.])\d{1,4},? (?:rue|avenue|boulevard) (?:(?:de|du|des|la) ){0,2}\p{Lu}\p{Ll}+"),
+)
+#: Titles of men, of women and of either, a word of a name.
+MR = "Mr|Herr|Monsieur|Señor|господин|Господин|г-н|Κύριος|Κύριε"
+MRS = "Mrs|Ms|Miss|Frau|Madame|Señora|госпожа|Госпожа|г-жа|Κυρία"
+EITHER = "Dr|Prof"
+_NAME = r"\p{Lu}(?:\p{Ll}+|(?=['’]\p{Lu}))(?:[\-'’]\p{Lu}?\p{Ll}+)*"
+_TITLE = rf"(?:{MRS}|{MR}|{EITHER})\.? "
+TITLED = rf"(?<!\p{{L}}){_TITLE}{_NAME}(?: {_NAME})?"
+
+#: Syllables of surrogate names by script, and the ends of given names (men, women, either) and of surnames (men, women).
+SYLLABLES = {
+    "latin": "ba be bo da de do fa fe fi ga ge go ha he ho ja jo ka ke ko la le li lo ma me mi mo na ne no pa pe po ra re ri ro sa se so ta te ti to va ve wi".split(),
+    "cyrillic": "ба бе бо ва ве во га го да де до за зе ка ко ла ле ли ло ма ме ми мо на не но па пе по ра ре ро са се со та те ти то фа фе хо ча".split(),
+    "greek": "βα βε γα γε δα δε ζα ζε θα θε κα κε κο λα λε λι μα με μι μο να νε νο πα πε πο ρα ρε ρο σα σε σο τα τε το φα φε χα".split(),
+}
+GIVEN_ENDS = {
+    "latin": ("n r s l rd rt mir lf".split(), "ra na la sa tte lle ne nja".split(), "m nn x y".split()),
+    "cyrillic": ("н р л с слав мир".split(), "на ра ла ся нья лия".split(), "ша ня".split()),
+    "greek": ("νης ρος λος κης".split(), "να ρα λη νη".split(), "νι ρι".split()),
+}
+SURNAME_ENDS = {
+    "latin": ("rsen rmann lberg nsky lter ndt rick nson lley rton ndez rdi".split(),) * 2,
+    "cyrillic": ("нов ров лин син нский рский".split(), "нова рова лина сина нская рская".split()),
+    "greek": ("νίδης ρίδης λάκης νόπουλος".split(), "νίδου ρίδου λάκη νοπούλου".split()),
+}
+#: Letters that stand in for others of their script, small and large.
+ALPHABETS = (
+    (r"\p{IsCyrillic}", "абвгдежзиклмнопрстуфхцчшэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"),
+    (r"\p{IsGreek}", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
+    (r"\p{IsLatin}", "àáâãäåæçèéêëìíîïñòóôõöøùúûü", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜ"),
+    (r"\p{IsArabic}", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"),
+    (r"\p{IsHebrew}", "אבגדהוזחטיכלמנסעפצקרשת", "אבגדהוזחטיכלמנסעפצקרשת"),
+    (r"\p{L}", "的一是不了人我在有他这中大来上国", "的一是不了人我在有他这中大来上国"),
 )
-#: Titles of women; given names and surnames that a surrogate takes (Latin script).
-FEMALE = r"^(Mrs|Ms|Miss|Frau|Madame|Señora)"
-WOMEN = "Ada Bea Cora Dina Edda Flora Greta Hanna Ina Jana Klara Lena Mara Nora Olga Paula".split()
-MEN = "Adam Boris Carl David Emil Franz Georg Hugo Ivan Jonas Karl Leo Max Nils Otto Paul".split()
-SURNAMES = "Abel Berg Cole Dorn Ebert Falk Grant Hale Innes Jung Kern Lang Moore Nagel Orth Pratt".split()
 
 #: A text without any of these has no entity; each alternative is one look at a sign in most places.
-_MAY_HAVE = r"[0-9@=:]|AKIA|ASIA|[MFHS](?:rs|r|s|iss|err|rau|adame|onsieur|eñora|eñor)\.? \p{Lu}|[0-9a-f]{32}"
+_MAY_HAVE = r"[0-9@=:]|AKIA|ASIA|[MFHSDPгГΚ](?:rs|r|s|iss|err|rau|adame|onsieur|eñora|eñor|rof|осподин|оспожа|-н|-жа|ύριος|ύριε|υρία)\.? \p{Lu}|[0-9a-f]{32}"
+_MAY_NAME = r"[MFHSDPгГΚ](?:rs|r|s|iss|err|rau|adame|onsieur|eñora|eñor|rof|осподин|оспожа|-н|-жа|ύριος|ύριε|υρία)\.? \p{Lu}"
 #: Entities begin where no word goes on, which rules out most places before any kind is tried.
-PATTERN = r"(?<!\w)(?:" + "|".join(f"(?:{p})" for _, p in KINDS) + ")"
+_ANY = "|".join(f"(?:{p})" for _, p in KINDS) + f"|{TITLED}"
+PATTERN = rf"(?<!\w)(?:{_ANY})"
 _ALNUM = r"[^\p{L}\p{N}]"
 _SECRET_HEAD = r"^[A-Za-z_\-]+\s{0,3}[=:]\s{0,3}[\"']?"
+_STREET = r" (?:Street|Avenue|Road|Lane|Drive|Boulevard|Court|Square|St|Ave|Rd|Blvd)$|(?:straße|strasse|weg|platz|gasse) "
 
 
 def kind_of(e: Column) -> Column:
@@ -75,19 +111,21 @@ def fixed_head(kind: Column, e: Column) -> Column:
         .when(kind == "iban", F.substring(e, 1, 2))
         .when(kind == "card", F.substring(e, 1, 1))
         .when(kind == "phone", F.regexp_extract(e, r"^\+\d{1,3}(?!\d)", 0))
-        .when(kind == "name", F.regexp_extract(e, r"^\p{L}+\.? ", 0))
         .otherwise("")
     )
 
 
 def normal(kind: Column, e: Column) -> Column:
-    """Equal for entities that are the same one: without case and separators (but for addresses and secrets)."""
+    """Equal for entities that are the same one: without case and separators (but for network addresses and secrets).
+
+    A given name is written with its gender: ``m|``, ``f|`` or ``x|`` before it."""
     body = F.substr(e, F.char_length(fixed_head(kind, e)) + 1)
     return (
         F.when(kind == "email", F.lower(e))
         .when(kind == "ip", e)
         .when(kind == "secret", F.rtrim(body, F.lit("\"'")))
-        .when(kind == "name", body)
+        .when(kind == "surname", F.lower(e))
+        .when(kind == "given", F.concat(F.substr(e, F.lit(1), F.lit(2)), F.lower(F.substr(e, F.lit(3)))))
         .otherwise(F.regexp_replace(F.lower(e), _ALNUM, ""))
     )
 
@@ -103,8 +141,33 @@ def _stream(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     return F.concat(*(F.sha2(F.concat(F.lit(f"{k}|"), seed, F.lit(f"|{key}")), 512) for k in range(8)))
 
 
-def _letters(first: str, n: int, number: Column) -> Column:
-    return F.char((F.lit(ord(first)) + number % n).cast("long"))
+def _pick(values: list[str], number: Column) -> Column:
+    return F.get(F.array(*map(F.lit, values)), number % len(values))
+
+
+def _letters(alphabet: str, number: Column) -> Column:
+    return F.substr(F.lit(alphabet), number % len(alphabet) + 1, F.lit(1))
+
+
+def _made_name(script: str, stream: Column, attempt: Column, syllables: int, ends: list[str]) -> Column:
+    """A name of so many syllables, two more from the third attempt on, and four from the sixth."""
+    at = lambda k: _pick(SYLLABLES[script], _byte(stream, F.lit(k)))
+    more = F.concat(F.when(attempt >= 3, F.concat(at(20), at(21))).otherwise(""), F.when(attempt >= 6, F.concat(at(22), at(23))).otherwise(""))
+    return F.initcap(F.concat(*(at(10 + k) for k in range(syllables)), more, _pick(ends, _byte(stream, F.lit(30)))))
+
+
+def name_surrogate(kind: Column, part: Column, attempt: Column, stream: Column) -> Column:
+    """The surrogate of a given name (with its gender before it) or a surname, in its script."""
+    given = kind == "given"
+    gender, name = F.substr(part, F.lit(1), F.lit(2)), F.when(given, F.substr(part, F.lit(3))).otherwise(part)
+
+    def of(script: str, women: str) -> Column:
+        men, ladies, both = GIVEN_ENDS[script]
+        first = F.when(gender == "m|", _made_name(script, stream, attempt, 2, men)).when(gender == "f|", _made_name(script, stream, attempt, 2, ladies)).otherwise(_made_name(script, stream, attempt, 2, both))
+        last = F.when(name.rlike(women), _made_name(script, stream, attempt, 3, SURNAME_ENDS[script][1])).otherwise(_made_name(script, stream, attempt, 3, SURNAME_ENDS[script][0]))
+        return F.when(given, F.concat(gender, first)).otherwise(last)
+
+    return F.when(name.rlike(r"\p{IsCyrillic}"), of("cyrillic", "[аяАЯ]$")).when(name.rlike(r"\p{IsGreek}"), of("greek", "[αηουάή]$")).otherwise(of("latin", "^$"))
 
 
 def _mapped(body: Column, stream: Column, hexadecimal: Column, nonzero: Column) -> Column:
@@ -113,16 +176,20 @@ def _mapped(body: Column, stream: Column, hexadecimal: Column, nonzero: Column)
     The k-th letter or digit takes the k-th number of the stream, so separators don't matter.
     """
 
+    def other(c: Column, number: Column) -> Column:
+        out = c
+        for script, small, large in reversed(ALPHABETS):
+            out = F.when(c.rlike(script), F.when(c == F.lower(c), _letters(small, number)).otherwise(_letters(large, number))).otherwise(out)
+        return out
+
     def one(c: Column, k: Column) -> Column:
         number = _byte(stream, k)
         return (
             F.when(hexadecimal & c.rlike("[0-9a-f]"), F.substr(F.lit("0123456789abcdef"), number % 16 + 1, F.lit(1)))
             .when(c.rlike("[0-9]"), F.when(nonzero & (k == 0), (number % 8 + 2).cast("string")).otherwise((number % 10).cast("string")))
-            .when(c.rlike("[a-z]"), _letters("a", 26, number))
-            .when(c.rlike("[A-Z]"), _letters("A", 26, number))
-            .when(c.rlike(r"\p{IsCyrillic}"), F.when(c == F.lower(c), _letters("а", 32, number)).otherwise(_letters("А", 32, number)))
-            .when(c.rlike(r"\p{IsGreek}"), F.when(c == F.lower(c), _letters("α", 17, number)).otherwise(_letters("Α", 17, number)))
-            .when(c.rlike(r"\p{L}"), F.when(c == F.lower(c), _letters("à", 23, number)).otherwise(_letters("À", 23, number)))
+            .when(c.rlike("[a-z]"), _letters("abcdefghijklmnopqrstuvwxyz", number))
+            .when(c.rlike("[A-Z]"), _letters("ABCDEFGHIJKLMNOPQRSTUVWXYZ", number))
+            .when(c.rlike(r"\p{L}"), other(c, number))
             .otherwise(c)
         )
 
@@ -158,25 +225,61 @@ def surrogate(kind: Column, e: Column, attempt: Column, key: str = KEY) -> Colum
         head = fixed_head(kind, e)
         body = F.substr(e, F.char_length(head) + 1)
         ip = F.concat_ws(".", *((_byte(s, F.lit(k)) % (223 if k == 0 else 254) + 1).cast("string") for k in range(4)))
-        pick = lambda names, k: F.get(F.array(*map(F.lit, names)), _byte(s, F.lit(k)) % len(names))
-        # further letters keep names distinct beyond the lists
-        more = F.concat(_letters("a", 26, _byte(s, F.lit(4))), _letters("a", 26, _byte(s, F.lit(5))), _letters("a", 26, _byte(s, F.lit(6))), F.lit("s"))
-        latin = ~body.rlike(r"\p{L}") | ~body.rlike(r"[\p{IsCyrillic}\p{IsGreek}]")
-        given = F.when(e.rlike(FEMALE), pick(WOMEN, 1)).otherwise(pick(MEN, 1))
-        name = F.when(~latin, _mapped(body, s, F.lit(False), F.lit(False))).when(body.contains(" "), F.concat(given, F.lit(" "), pick(SURNAMES, 2), more)).otherwise(F.concat(pick(SURNAMES, 2), more))
         top = F.regexp_extract(e, r"\.[A-Za-z0-9\-]+$", 0)
         mail = F.concat(_mapped(F.substr(e, F.lit(1), F.char_length(e) - F.char_length(top)), s, F.lit(False), F.lit(False)), top)
+        number = _mapped(F.regexp_extract(e, r"\d+[a-z]?", 0), s, F.lit(False), F.lit(True))
+        street = _made_name("latin", s, attempt, 3, SURNAME_ENDS["latin"][0])
+        kept = F.regexp_extract(e, _STREET, 0)
+        french = F.regexp_extract(e, r"^\d+(,? (?:rue|avenue|boulevard) (?:(?:de|du|des|la) ){0,2})", 1)
+        address = F.when(french != "", F.concat(number, french, street)).when(e.rlike(r"^\d"), F.concat(number, F.lit(" "), street, kept)).otherwise(F.concat(street, kept, number))
         plain = _mapped(body, s, (kind == "hex") | ((kind == "secret") & body.rlike("^[0-9a-f\"']+$")), kind.isin("phone", "ssn"))
         valid = (kind == "card") & (_luhn_total(F.regexp_replace(e, r"\D", ""), False) % 10 == 0)
         other = let(F.concat(head, plain), lambda whole: F.when(valid, _with_check_digit(whole)).otherwise(whole))
-        return F.when(kind == "ip", ip).when(kind == "name", F.concat(head, name)).when(kind == "email", mail).otherwise(other)
+        return F.when(kind == "ip", ip).when(kind.isin("given", "surname"), name_surrogate(kind, e, attempt, s)).when(kind == "email", mail).when(kind == "address", address).otherwise(other)
 
     return let(_stream(kind, normal(kind, e), attempt, key), build)
 
 
-def entities_of(text: Column) -> Column:
+def titled_names(text: Column) -> Column:
+    """The distinct names with a title of a text: gender (``m|``, ``f|`` or ``x|``), given (may be empty) and surname."""
+    found = F.when(text.rlike(_MAY_NAME), F.array_distinct(F.regexp_extract_all(text, F.lit(TITLED), F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    return F.transform(found, lambda x: name_parts(x, None))
+
+
+def name_parts(e: Column, known: Column | None) -> Column:
+    """gender, given and surname of a mention; one without a title has the gender of the first name among ``known`` with its parts."""
+    words = F.split(F.regexp_replace(e, f"^{_TITLE}", ""), " ")
+    given = F.when(F.size(words) > 1, F.get(words, F.lit(0))).otherwise("")
+    surname = F.element_at(words, -1)
+    gender = F.when(e.rlike(f"^(?:{MRS})\\.? "), "f|").when(e.rlike(f"^(?:{MR})\\.? "), "m|")
+    if known is not None:
+        same = F.filter(known, lambda n: (n["given"] == given) & (n["surname"] == surname) & (n["gender"] != "x|"))
+        gender = F.coalesce(gender, F.get(same, F.lit(0))["gender"])
+    return F.struct(F.coalesce(gender, F.lit("x|")).alias("gender"), given.alias("given"), surname.alias("surname"))
+
+
+def pattern_of(names: Column) -> Column:
+    """The pattern of a text with these titled names: theirs without a title are entities too."""
+    join = lambda part: F.array_join(F.array_distinct(F.filter(F.transform(names, lambda n: n[part]), lambda x: x != "")), "|")
+    given = let(join("given"), lambda g: F.when(g == "", "").otherwise(F.concat(F.lit("(?:(?:"), g, F.lit(") )?"))))
+    return F.concat(F.lit(rf"(?<!\w)(?:{_ANY}|(?<![\p{{L}}\p{{N}}])"), given, F.lit("(?:"), join("surname"), F.lit(r")(?![\p{L}\p{N}]))"))
+
+
+def entities_of(text: Column, names: Column) -> Column:
     """The entities of a text in order (array<string>), empty for null."""
-    return F.when(text.rlike(_MAY_HAVE), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    plain = F.when(text.rlike(_MAY_HAVE), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(names) > 0, F.regexp_extract_all(text, pattern_of(names), F.lit(0))).otherwise(plain)
+
+
+def parts_of(e: Column, names: Column) -> Column:
+    """(kind, e) of an entity: itself, or the surname and given name of a name."""
+
+    def of(kind: Column) -> Column:
+        one = lambda k, x: F.struct(k.alias("kind"), x.alias("e"))
+        named = let(name_parts(e, names), lambda n: F.when(n["given"] == "", F.array(one(F.lit("surname"), n["surname"]))).otherwise(F.array(one(F.lit("surname"), n["surname"]), one(F.lit("given"), F.concat(n["gender"], n["given"])))))
+        return F.when(kind == "name", named).otherwise(F.array(one(kind, e)))
+
+    return let(kind_of(e), of)
 
 
 def raised_attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
@@ -205,28 +308,44 @@ def raised_attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with entities in ``text`` replaced (n_chars follows, if there is such a column), and ``n_replaced``."""
-    found = docs.select(F.explode(entities_of(F.col("text"))).alias("e")).distinct().withColumn("kind", kind_of(F.col("e"))).withColumn("norm", normal(F.col("kind"), F.col("e")))
-    raised = raised_attempts(found.groupBy("kind", "norm").agg(F.min("e").alias("sample")), key)
-    count = raised.count()
     columns = docs.columns
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), entities_of(F.col("text")).alias("_e"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), titled_names(F.col("text")).alias("_names"))
+    rows = rows.withColumn("_e", entities_of(F.col("_row.text"), F.col("_names")))
 
-    def replaced(text: Column, e: Column, attempts: Column | None) -> Column:
-        parts = F.split(text, PATTERN, -1)
+    def parts(rows: DataFrame, *keys: str) -> DataFrame:
+        """kind, norm and e of all entities, names in their parts."""
+        each = rows.where(F.size("_e") > 0).select(*keys, "_names", F.explode(F.array_distinct("_e")).alias("x"))
+        return each.select(*keys, F.inline(parts_of(F.col("x"), F.col("_names")))).distinct().withColumn("norm", normal(F.col("kind"), F.col("e")))
+
+    raised = raised_attempts(parts(rows).groupBy("kind", "norm").agg(F.min("e").alias("sample")), key)
+    count = raised.count()
+
+    def replaced(text: Column, e: Column, names: Column, attempts: Column | None) -> Column:
+        split = F.when(F.size(names) > 0, F.split(text, pattern_of(names), -1)).otherwise(F.split(text, PATTERN, -1))
         number = (lambda k, x: F.coalesce(F.element_at(attempts, F.concat_ws("|", k, normal(k, x))), F.lit(0))) if attempts is not None else (lambda k, x: F.lit(0))
-        made = F.transform(e, lambda x: let(kind_of(x), lambda k: surrogate(k, x, number(k, x), key)))
-        return F.array_join(F.zip_with(parts, made, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
+        made = lambda k, x: surrogate(k, x, number(k, x), key)
+
+        def person(x: Column) -> Column:
+            title = F.regexp_extract(x, f"^{_TITLE}", 0)
+
+            def put(n: Column) -> Column:
+                given = F.when(n["given"] == "", "").otherwise(F.concat(F.substr(made(F.lit("given"), F.concat(n["gender"], n["given"])), F.lit(3)), F.lit(" ")))
+                return F.concat(title, given, made(F.lit("surname"), n["surname"]))
+
+            return let(name_parts(x, names), put)
+
+        new = F.transform(e, lambda x: let(kind_of(x), lambda k: F.when(k == "name", person(x)).otherwise(made(k, x))))
+        return F.array_join(F.zip_with(split, new, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
 
     if count:
         few = F.broadcast(raised) if count <= BROADCAST_ROWS else raised
         rows = rows.withColumn("_id", F.xxhash64(F.col("_row.text")))
-        per = rows.where(F.size("_e") > 0).select("_id", F.explode("_e").alias("x")).distinct().withColumn("kind", kind_of(F.col("x"))).withColumn("norm", normal(F.col("kind"), F.col("x")))
-        per = per.join(few, ["kind", "norm"]).select("_id", F.concat_ws("|", "kind", "norm").alias("k"), "attempt").distinct().groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias("_a"))
+        per = parts(rows, "_id").join(few, ["kind", "norm"]).select("_id", F.concat_ws("|", "kind", "norm").alias("k"), "attempt").distinct().groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias("_a"))
         rows = rows.join(F.broadcast(per) if count <= BROADCAST_ROWS and per.count() <= BROADCAST_ROWS else per, "_id", "left")
         attempts = F.col("_a")
     else:
         attempts = None
-    text = F.when(F.size("_e") == 0, F.col("_row.text")).otherwise(replaced(F.col("_row.text"), F.col("_e"), attempts))
+    text = F.when(F.size("_e") == 0, F.col("_row.text")).otherwise(replaced(F.col("_row.text"), F.col("_e"), F.col("_names"), attempts))
     rows = rows.select("_row", text.alias("_text"), F.size("_e").cast("long").alias("n_replaced"))
     keep = [F.col("_text").alias(c) if c == "text" else F.char_length("_text").cast("long").alias(c) if c == "n_chars" else F.col(f"_row.`{c}`") for c in columns]
     return rows.select(*keep, *([] if "n_replaced" in columns else ["n_replaced"]))

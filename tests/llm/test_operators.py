@@ -490,6 +490,75 @@ def test_collisions_are_resolved(spark, monkeypatch):
     assert raised and made.distinct().count() == 10
 
 
+NAMES = [
+    (1, "Mr. John Smith came. Mr. Smith spoke; John Smith left, said Dr. Ann Lee. Smith's coat, Smithson's hat."),
+    (2, "Mr. Иван Петров и Mrs. Ирина Петрова. Петров ушёл."),
+    (3, "Κύριος Γιώργος Παππάς, Frau Jürgen Müller, Herr Jörg Müller und Müller"),
+    (4, "John Smith without a title stays"),
+    (5, "ivan.петров@mail.example.org Mrs. O'Brien-Lee of 12 Baker Street, Mr. Smith"),
+]
+
+
+def test_names_keep_script_gender_and_coreference(spark):
+    got = {r["doc_id"]: r["text"] for r in pii.with_surrogates(spark.createDataFrame(NAMES, DOCS)).collect()}
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) came\. Mr\. (\w+) spoke; (\w+) (\w+) left, said Dr\. (\w+) (\w+)\. (\w+)'s coat, Smithson's hat\.", got[1])
+    assert m and m[2] == m[3] == m[5] == m[8] and m[1] == m[4] and not {"John", "Smith", "Ann", "Lee"} & set(m.groups())
+    assert any(m[1].lower().endswith(x) for x in pii.GIVEN_ENDS["latin"][0])
+    cyrillic = r"([А-ЯЁ][а-яё]+)"
+    m = re.fullmatch(rf"Mr\. {cyrillic} {cyrillic} и Mrs\. {cyrillic} {cyrillic}\. {cyrillic} ушёл\.", got[2])
+    assert m and m[2] == m[5] and m[4][-1] in "ая" and m[2][-1] not in "ая" and not {"Иван", "Петров", "Ирина", "Петрова"} & set(m.groups())
+    m = re.fullmatch(r"Κύριος ([Ά-ώ]+) ([Ά-ώ]+), Frau (\w+) (\w+), Herr (\w+) (\w+) und (\w+)", got[3])
+    assert m and m[4] == m[6] == m[7] and m[3][0].isupper() and "Müller" not in got[3] and "Παππάς" not in got[3]
+    assert got[4] == NAMES[3][1]
+    assert not any(x in got[5] for x in ("Brien", "Baker", "Smith", "12 ")) and re.search(r"\d+ [A-Z][a-z]+ Street", got[5])
+    # one surname in two texts
+    assert got[5].rsplit(" ", 1)[1] == re.match(r"Mr\. \w+ (\w+)", got[1])[1]
+
+
+def test_letters_of_other_scripts_keep_script_and_case(spark):
+    text = "Петров-Ωμέγα_Ärger_123_שלום"
+    row = spark.createDataFrame([(text,)], "t string").select(pii._mapped(F.col("t"), pii._stream(F.lit("secret"), F.col("t"), F.lit(0), "k"), F.lit(False), F.lit(False))).first()[0]
+    assert row != text and len(row) == len(text)
+    for a, b in zip(text, row, strict=True):
+        assert a.isalpha() == b.isalpha() and a.isdigit() == b.isdigit() and a.isupper() == b.isupper()
+        if a.isalpha():
+            script = lambda c: next(n for n, lo, hi in (("latin", 0, 0x250), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x4FF), ("hebrew", 0x590, 0x5FF)) if lo <= ord(c) <= hi)
+            assert script(a) == script(b)
+        elif not a.isdigit():
+            assert a == b
+
+
+def test_query_replaces_just_the_entities(spark, sf):
+    """Against a search with another engine: all else stays, equal entities agree, distinct ones differ."""
+    import regex
+
+    pattern, title = regex.compile(pii.PATTERN), regex.compile(f"^{pii._TITLE}")
+    before = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    after = {r["doc_id"]: (r["text"], r["n_replaced"]) for r in pii.op7_pii(spark, sf).collect()}
+    assert set(after) == set(before)
+    made = {}
+    for d, text in before.items():
+        found = list(pattern.finditer(text or ""))
+        if any(title.match(m[0]) for m in found):
+            assert after[d][1] >= len(found)
+            continue
+        assert after[d][1] == len(found)
+        at, out = 0, after[d][0]
+        for k, m in enumerate(found):
+            gap = text[at : m.start()]
+            assert out is not None and out.startswith(gap)
+            out, at = out[len(gap) :], m.end()
+            stop = found[k + 1].start() if k + 1 < len(found) else len(text)
+            rest = text[at:stop]
+            n = out.find(rest) if rest else len(m[0])
+            made.setdefault(m[0], set()).add(out[:n])
+            out = out[n:]
+        assert (out or "") == (text or "")[at:]
+    assert made and all(len(x) == 1 for x in made.values()) and not any(k in v for k, v in made.items())
+    plain = Counter(regex.sub(r"[^\p{L}\p{N}]", "", k).lower() for k in made)
+    assert len({regex.sub(r"[^\p{L}\p{N}]", "", next(iter(v))).lower() for v in made.values()}) == len(plain)
+
+
 def test_surrogates_keep_columns(odd, empty):
     out = pii.with_surrogates(odd)
     assert out.columns == [*odd.columns, "n_replaced"] and out.count() == 13
