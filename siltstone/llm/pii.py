@@ -141,33 +141,25 @@ def _stream(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     return F.concat(*(F.sha2(F.concat(F.lit(f"{k}|"), seed, F.lit(f"|{key}")), 512) for k in range(8)))
 
 
-def _pick(values: list[str], number: Column) -> Column:
-    return F.get(F.array(*map(F.lit, values)), number % len(values))
-
-
-def _letters(alphabet: str, number: Column) -> Column:
-    return F.substr(F.lit(alphabet), number % len(alphabet) + 1, F.lit(1))
-
-
-def _made_name(script: str, stream: Column, attempt: Column, syllables: int, ends: list[str]) -> Column:
-    """A name of so many syllables, two more from the third attempt on, and four from the sixth."""
-    at = lambda k: _pick(SYLLABLES[script], _byte(stream, F.lit(k)))
-    more = F.concat(F.when(attempt >= 3, F.concat(at(20), at(21))).otherwise(""), F.when(attempt >= 6, F.concat(at(22), at(23))).otherwise(""))
-    return F.initcap(F.concat(*(at(10 + k) for k in range(syllables)), more, _pick(ends, _byte(stream, F.lit(30)))))
-
-
 def name_surrogate(kind: Column, part: Column, attempt: Column, stream: Column) -> Column:
-    """The surrogate of a given name (with its gender before it) or a surname, in its script."""
+    """The surrogate of a given name (with its gender before it) or a surname, in its script: two or three syllables, two more from
+    the third attempt on, four from the sixth, and an end that fits the gender."""
     given = kind == "given"
     gender, name = F.substr(part, F.lit(1), F.lit(2)), F.when(given, F.substr(part, F.lit(3))).otherwise(part)
 
     def of(script: str, women: str) -> Column:
-        men, ladies, both = GIVEN_ENDS[script]
-        first = F.when(gender == "m|", _made_name(script, stream, attempt, 2, men)).when(gender == "f|", _made_name(script, stream, attempt, 2, ladies)).otherwise(_made_name(script, stream, attempt, 2, both))
-        last = F.when(name.rlike(women), _made_name(script, stream, attempt, 3, SURNAME_ENDS[script][1])).otherwise(_made_name(script, stream, attempt, 3, SURNAME_ENDS[script][0]))
-        return F.when(given, F.concat(gender, first)).otherwise(last)
+        men, ladies, both = (F.lit(" ".join(x)) for x in GIVEN_ENDS[script])
+        male, female = (F.lit(" ".join(x)) for x in SURNAME_ENDS[script])
+        ends = F.when(given, F.when(gender == "m|", men).when(gender == "f|", ladies).otherwise(both)).when(name.rlike(women), female).otherwise(male)
+        return F.struct(F.lit("".join(SYLLABLES[script])).alias("syllables"), F.split(ends, " ").alias("ends"))
 
-    return F.when(name.rlike(r"\p{IsCyrillic}"), of("cyrillic", "[аяАЯ]$")).when(name.rlike(r"\p{IsGreek}"), of("greek", "[αηουάή]$")).otherwise(of("latin", "^$"))
+    def made(x: Column) -> Column:
+        many = F.when(given, 2).otherwise(3) + F.when(attempt >= 6, 4).when(attempt >= 3, 2).otherwise(0)
+        syllable = lambda k: F.substr(x["syllables"], _byte(stream, k + 10) % (F.char_length(x["syllables"]) / 2).cast("int") * 2 + 1, F.lit(2))
+        word = F.initcap(F.concat(F.array_join(F.transform(F.sequence(F.lit(0), many - 1), syllable), ""), F.get(x["ends"], _byte(stream, F.lit(30)) % F.size(x["ends"]))))
+        return F.when(given, F.concat(gender, word)).otherwise(word)
+
+    return let(F.when(name.rlike(r"\p{IsCyrillic}"), of("cyrillic", "[аяАЯ]$")).when(name.rlike(r"\p{IsGreek}"), of("greek", "[αηουάή]$")).otherwise(of("latin", "^$")), made)
 
 
 def _mapped(body: Column, stream: Column, hexadecimal: Column, nonzero: Column) -> Column:
@@ -176,22 +168,15 @@ def _mapped(body: Column, stream: Column, hexadecimal: Column, nonzero: Column)
     The k-th letter or digit takes the k-th number of the stream, so separators don't matter.
     """
 
-    def other(c: Column, number: Column) -> Column:
-        out = c
+    def alphabet(c: Column, k: Column) -> Column:
+        out = F.lit(None).cast("string")
         for script, small, large in reversed(ALPHABETS):
-            out = F.when(c.rlike(script), F.when(c == F.lower(c), _letters(small, number)).otherwise(_letters(large, number))).otherwise(out)
-        return out
+            out = F.when(c.rlike(script), F.when(c == F.lower(c), F.lit(small)).otherwise(F.lit(large))).otherwise(out)
+        ascii = F.when(hexadecimal & c.rlike("[0-9a-f]"), "0123456789abcdef").when(c.rlike("[0-9]"), F.when(nonzero & (k == 0), "23456789").otherwise("0123456789"))
+        return ascii.when(c.rlike("[a-z]"), "abcdefghijklmnopqrstuvwxyz").when(c.rlike("[A-Z]"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").otherwise(out)
 
     def one(c: Column, k: Column) -> Column:
-        number = _byte(stream, k)
-        return (
-            F.when(hexadecimal & c.rlike("[0-9a-f]"), F.substr(F.lit("0123456789abcdef"), number % 16 + 1, F.lit(1)))
-            .when(c.rlike("[0-9]"), F.when(nonzero & (k == 0), (number % 8 + 2).cast("string")).otherwise((number % 10).cast("string")))
-            .when(c.rlike("[a-z]"), _letters("abcdefghijklmnopqrstuvwxyz", number))
-            .when(c.rlike("[A-Z]"), _letters("ABCDEFGHIJKLMNOPQRSTUVWXYZ", number))
-            .when(c.rlike(r"\p{L}"), other(c, number))
-            .otherwise(c)
-        )
+        return let(alphabet(c, k), lambda a: F.coalesce(F.substr(a, _byte(stream, k) % F.char_length(a) + 1, F.lit(1)), c))
 
     chars = F.filter(F.split(body, ""), lambda c: c != "")
 
@@ -226,16 +211,20 @@ def surrogate(kind: Column, e: Column, attempt: Column, key: str = KEY) -> Colum
         body = F.substr(e, F.char_length(head) + 1)
         ip = F.concat_ws(".", *((_byte(s, F.lit(k)) % (223 if k == 0 else 254) + 1).cast("string") for k in range(4)))
         top = F.regexp_extract(e, r"\.[A-Za-z0-9\-]+$", 0)
-        mail = F.concat(_mapped(F.substr(e, F.lit(1), F.char_length(e) - F.char_length(top)), s, F.lit(False), F.lit(False)), top)
-        number = _mapped(F.regexp_extract(e, r"\d+[a-z]?", 0), s, F.lit(False), F.lit(True))
-        street = _made_name("latin", s, attempt, 3, SURNAME_ENDS["latin"][0])
-        kept = F.regexp_extract(e, _STREET, 0)
-        french = F.regexp_extract(e, r"^\d+(,? (?:rue|avenue|boulevard) (?:(?:de|du|des|la) ){0,2})", 1)
-        address = F.when(french != "", F.concat(number, french, street)).when(e.rlike(r"^\d"), F.concat(number, F.lit(" "), street, kept)).otherwise(F.concat(street, kept, number))
-        plain = _mapped(body, s, (kind == "hex") | ((kind == "secret") & body.rlike("^[0-9a-f\"']+$")), kind.isin("phone", "ssn"))
+        # what is mapped sign by sign: a mail address without its last label, the number of a house, else all but the head
+        part = F.when(kind == "email", F.substr(e, F.lit(1), F.char_length(e) - F.char_length(top))).when(kind == "address", F.regexp_extract(e, r"\d+[a-z]?", 0)).otherwise(body)
+        mapped = _mapped(part, s, (kind == "hex") | ((kind == "secret") & body.rlike("^[0-9a-f\"']+$")), kind.isin("phone", "ssn", "address"))
+        kept, french = F.regexp_extract(e, _STREET, 0), F.regexp_extract(e, r"^\d+(,? (?:rue|avenue|boulevard) (?:(?:de|du|des|la) ){0,2})", 1)
         valid = (kind == "card") & (_luhn_total(F.regexp_replace(e, r"\D", ""), False) % 10 == 0)
-        other = let(F.concat(head, plain), lambda whole: F.when(valid, _with_check_digit(whole)).otherwise(whole))
-        return F.when(kind == "ip", ip).when(kind.isin("given", "surname"), name_surrogate(kind, e, attempt, s)).when(kind == "email", mail).when(kind == "address", address).otherwise(other)
+
+        def whole(m: Column, name: Column) -> Column:
+            address = F.when(french != "", F.concat(m, french, name)).when(e.rlike(r"^\d"), F.concat(m, F.lit(" "), name, kept)).otherwise(F.concat(name, kept, m))
+            other = let(F.concat(head, m), lambda x: F.when(valid, _with_check_digit(x)).otherwise(x))
+            return F.when(kind == "ip", ip).when(kind.isin("given", "surname"), name).when(kind == "email", F.concat(m, top)).when(kind == "address", address).otherwise(other)
+
+        street = F.when(kind == "address", "street").otherwise(e)
+        name = F.when(kind.isin("given", "surname", "address"), name_surrogate(kind, street, attempt, s))
+        return let(F.struct(mapped.alias("m"), name.alias("n")), lambda x: whole(x["m"], x["n"]))
 
     return let(_stream(kind, normal(kind, e), attempt, key), build)
 
@@ -323,18 +312,14 @@ def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     def replaced(text: Column, e: Column, names: Column, attempts: Column | None) -> Column:
         split = F.when(F.size(names) > 0, F.split(text, pattern_of(names), -1)).otherwise(F.split(text, PATTERN, -1))
         number = (lambda k, x: F.coalesce(F.element_at(attempts, F.concat_ws("|", k, normal(k, x))), F.lit(0))) if attempts is not None else (lambda k, x: F.lit(0))
-        made = lambda k, x: surrogate(k, x, number(k, x), key)
-
-        def person(x: Column) -> Column:
-            title = F.regexp_extract(x, f"^{_TITLE}", 0)
-
-            def put(n: Column) -> Column:
-                given = F.when(n["given"] == "", "").otherwise(F.concat(F.substr(made(F.lit("given"), F.concat(n["gender"], n["given"])), F.lit(3)), F.lit(" ")))
-                return F.concat(title, given, made(F.lit("surname"), n["surname"]))
+        made = lambda p: surrogate(p["kind"], p["e"], number(p["kind"], p["e"]), key)
 
-            return let(name_parts(x, names), put)
+        def put(x: Column) -> Column:
+            """The surrogates of an entity's parts (a name's surname comes first) behind its title."""
+            joined = lambda ps: F.when(F.size(ps) == 2, F.concat(F.substr(F.get(ps, F.lit(1)), F.lit(3)), F.lit(" "), F.get(ps, F.lit(0)))).otherwise(F.get(ps, F.lit(0)))
+            return F.concat(F.regexp_extract(x, f"^{_TITLE}", 0), let(F.transform(parts_of(x, names), made), joined))
 
-        new = F.transform(e, lambda x: let(kind_of(x), lambda k: F.when(k == "name", person(x)).otherwise(made(k, x))))
+        new = F.transform(e, put)
         return F.array_join(F.zip_with(split, new, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
 
     if count:
