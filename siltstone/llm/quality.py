@@ -2,7 +2,7 @@
 
 A rule is a Boolean expression over the text that is true where a document must go.
 On a sample, each rule's cost (time per row) and selectivity (share rejected) are
-measured, and the rules are ordered by rejections per cost. The verdict is one nested
+measured, and the rules are ordered by rejections per cost (of equal ones the cheaper first). The verdict is one nested
 CASE in that order, so an expensive rule only runs on rows that the cheaper and more
 selective ones before it have left. The order changes the cost, never the verdict.
 
@@ -28,6 +28,7 @@ _SPACES = "[ \t\n\x0b\f\r]+"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 MAX_SYMBOLS_PER_WORD, MIN_MEAN_WORD, MAX_MEAN_WORD, MAX_DUP_LINES = 0.1, 3.0, 12.0, 0.5
 SYMBOLS = "[#*$%&|<>]"
+MIN_LETTERED_WORDS, MAX_CAPITALS, MAX_DIGITS = 0.6, 0.6, 0.3
 
 #: Rows (about) on which costs and selectivities are estimated.
 SAMPLE_ROWS = 2000
@@ -93,12 +94,20 @@ def _words_of(text: Column) -> Column:
     return F.size(words(text))
 
 
+#: Rules that need more than the base metrics.
+EXTRA = (
+    Rule("lettered_words", lambda t: let(words(t), lambda w: F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))) < MIN_LETTERED_WORDS * F.size(w))),
+    Rule("capitals", lambda t: F.regexp_count(t, F.lit(r"\p{Lu}")) > MAX_CAPITALS * F.regexp_count(t, F.lit(r"\p{L}"))),
+    Rule("digits", lambda t: F.regexp_count(t, F.lit("[0-9]")) > MAX_DIGITS * F.char_length(t)),
+)
+
 RULES = (
     Rule("too_short", lambda t: _words_of(t) < MIN_WORDS),
     Rule("repeats", lambda t: let(words(t), lambda w: 100 * n_repeat_words(w) > MAX_REPEAT_PERCENT * F.size(w))),
     Rule("symbols", lambda t: F.regexp_count(t, F.lit(SYMBOLS)) > MAX_SYMBOLS_PER_WORD * _words_of(t)),
     Rule("word_length", lambda t: let(words(t), lambda w: ~(F.char_length(F.array_join(w, "")) / F.greatest(F.size(w), F.lit(1))).between(MIN_MEAN_WORD, MAX_MEAN_WORD))),
     Rule("duplicate_lines", lambda t: let(worded_lines(t), lambda x: F.size(x) - F.size(F.array_distinct(x)) > MAX_DUP_LINES * F.size(x))),
+    *EXTRA,
 )
 
 
@@ -108,14 +117,14 @@ def measured_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int =
     sample = docs.select(_text().alias("text")).sample(min(1.0, rows / max(1, total)), seed=7).persist()
     try:
         share = sample.agg(*(F.avg(r.fails(F.col("text")).cast("double")).alias(r.name) for r in rules)).first()
-        gain = {}
+        cost = {}
         for r in rules:
             began = time.perf_counter()
             sample.agg(F.count_if(r.fails(F.col("text")))).first()
-            gain[r.name] = (share[r.name] or 0.0) / (time.perf_counter() - began)
+            cost[r.name] = time.perf_counter() - began
     finally:
         sample.unpersist()
-    return sorted(rules, key=lambda r: (-gain[r.name], r.name))
+    return sorted(rules, key=lambda r: (-(share[r.name] or 0.0) / cost[r.name], cost[r.name], r.name))
 
 
 def cascade(rules: list[Rule], text: Column | None = None) -> Column:
@@ -133,7 +142,7 @@ def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
 
 
 def quality_metrics(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, and _ratios for the other rules."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (with a word), and text (never null)."""
     w = docs.select("doc_id", _text().alias("text")).withColumn("w", words(F.col("text")))
     return w.select(
         "doc_id",
@@ -142,28 +151,19 @@ def quality_metrics(docs: DataFrame) -> DataFrame:
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         let(worded_lines(F.col("text")), lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
         n_repeat_words(F.col("w")).alias("n_repeat_words"),
-    ).withColumn("n_dup_lines", F.col("lines.dup"))
-
-
-#: The verdicts of RULES, by name, on the columns of ``quality_metrics``; the query computes every metric anyway.
-_ON_METRICS = {
-    "too_short": lambda: F.col("n_words") < MIN_WORDS,
-    "repeats": lambda: 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"),
-    "symbols": lambda: F.col("n_symbols") > MAX_SYMBOLS_PER_WORD * F.col("n_words"),
-    "word_length": lambda: ~(F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1))).between(MIN_MEAN_WORD, MAX_MEAN_WORD),
-    "duplicate_lines": lambda: F.col("n_dup_lines") > MAX_DUP_LINES * F.col("lines.n"),
-}
+        "text",
+    ).select("*", F.col("lines.dup").alias("n_dup_lines"), F.col("lines.n").alias("n_lines")).drop("lines")
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
+    """The base metrics of all rows; the verdict asks those first, as they are there, and then ``EXTRA`` in measured order, until one rejects."""
     docs = common.table(spark, sf_dir, "documents")
-    order = measured_order(docs)
-    kept = F.lit(True)
-    for r in reversed(order):
-        kept = F.when(_ON_METRICS[r.name](), False).otherwise(kept)
-    out = quality_metrics(docs)
-    base = _ON_METRICS["too_short"]() | _ON_METRICS["repeats"]()
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), kept.alias("kept"))
+    n = F.col("n_words")
+    base = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n)
+    known = (F.col("n_symbols") > MAX_SYMBOLS_PER_WORD * n) | (F.col("n_dup_lines") > MAX_DUP_LINES * F.col("n_lines"))
+    known |= ~(F.col("word_chars") / F.greatest(n, F.lit(1))).between(MIN_MEAN_WORD, MAX_MEAN_WORD)
+    kept = F.when(base | known, False).otherwise(cascade(measured_order(docs, EXTRA), F.col("text")))
+    return quality_metrics(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), kept.alias("kept"))
 
 
 OP2_SQL = """
@@ -176,11 +176,14 @@ s AS (SELECT r, sum(least(8, coalesce(q - p, 8))) AS n FROM k GROUP BY r),
 l AS (SELECT r, count(*) AS n, count(DISTINCT line) AS u FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ \\t\\n\\v\\f\\r]') GROUP BY r),
 m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-  CAST(coalesce(l.n - l.u, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(l.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(s.n, 0) AS BIGINT) AS n_repeat_words
+  CAST(coalesce(l.n - l.u, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(l.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(s.n, 0) AS BIGINT) AS n_repeat_words,
+  len(list_filter(w, lambda x: regexp_matches(x, '\\p{L}'))) AS lettered, length(regexp_replace(t, '[^\\p{Lu}]', '', 'g')) AS capitals,
+  length(regexp_replace(t, '\\P{L}', '', 'g')) AS letters, length(regexp_replace(t, '[^0-9]', '', 'g')) AS digits, length(t) AS chars
   FROM d JOIN w USING (r) LEFT JOIN s USING (r) LEFT JOIN l USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR n_symbols > 0.1 * n_words
-    OR word_chars / greatest(n_words, 1) NOT BETWEEN 3 AND 12 OR n_dup_lines > 0.5 * n_lines) AS kept
+    OR word_chars / greatest(n_words, 1) NOT BETWEEN 3 AND 12 OR n_dup_lines > 0.5 * n_lines
+    OR lettered < 0.6 * n_words OR capitals > 0.6 * letters OR digits > 0.3 * chars) AS kept
 FROM m
 """

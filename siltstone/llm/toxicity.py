@@ -1,15 +1,15 @@
 """Toxicity scores by weak supervision (operator 3).
 
-Many voters (words and word beginnings of a lexicon that the labelled sample yields, and
-patterns) mark a text or abstain. A generative label model holds for each voter
-how often it marks toxic and clean texts, and for pairs of voters how far their marks go
-together beyond that; expectation-maximization over the sample estimates the rates, where a label
-counts as one more voter of known accuracy, and correlated voters share their
-weight. Its posteriors are the labels on which a linear classifier over words and word
-beginnings is trained. All texts are scored with the classifier.
+Many voters (words and word beginnings of a lexicon, and patterns) mark a text or abstain. Two thirds of the labelled sample choose
+the lexicon and give first rates: how often each voter marks toxic and clean texts. A generative label model takes it from
+there without labels: expectation-maximization over the votes of all rows of the sample, in which voters whose marks go together beyond
+what the class explains share their weight. The labels never enter a posterior. The posteriors are the labels on which a linear
+classifier over words and word beginnings is trained; the logit at which it answers 1 is the one that parts the
+sample's own labels best. All texts are scored with the classifier.
 
 What is fitted sees at most ``SAMPLE_ROWS`` labelled rows, none of them held out. Scores use the text alone. Null and
-empty texts get the score of a text without features. Without labels every score is 0. Repeated rows each give a row. Columns other than
+empty texts get the score of a text without features. Without labels of both kinds every score is 0. Repeated rows each give a row; of
+documents or labels that repeat a doc_id the least text or label is learned from. Columns other than
 doc_id and text (and labels' doc_id and toxic) aren't read.
 """
 
@@ -28,8 +28,12 @@ from .language import held_out
 
 #: Bounds of the labelled sample, of its features, and of the lexicon.
 SAMPLE_ROWS, FEATURES, LEXICON, MIN_Z, MIN_TEXTS = 12_000, 6000, 300, 7.0, 8
-#: Letters of a word beginning; accuracy that a label is trusted with.
-BEGINNINGS, LABEL_ACCURACY = (4, 5, 6), 0.97
+#: Letters of a word beginning; texts' worth of trust in a voter's first rates.
+BEGINNINGS, TRUST = (4, 5, 6), 20.0
+#: Share of texts from which on a voter counts as one that marks often.
+OFTEN = 0.05
+#: A voter that marks nearly all texts of a class is one of few words for the other: its silence is told by their marks.
+MOSTLY = 0.9
 THRESHOLD = 0.3
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -48,31 +52,36 @@ def patterns(text: str | None) -> list[bool]:
     return [letters > 20 and sum(map(str.isupper, t)) > 0.6 * letters, "!!" in t, bool(re.search(r"\b(?:you|your)\b[^.?!]{0,40}!", t, re.I))]
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, dict]:
-    """Posteriors of toxic for each row of ``votes`` (rows x voters, 0 or 1), and what was estimated."""
-    n, m = votes.shape
-    trust = np.where(labels == 1, np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY)), -np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY)))
-    post = np.where(labels == 1, LABEL_ACCURACY, 1 - LABEL_ACCURACY)
-    weight, model = np.ones(m), {}
+def label_model(votes: np.ndarray, on_toxic: np.ndarray, on_clean: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.ndarray, dict]:
+    """Posteriors of toxic for each row of ``votes`` (rows x voters, 0 or 1) from the votes alone, and what was estimated.
+
+    ``on_toxic``, ``on_clean`` and ``prior`` are first guesses of how often voters mark texts of each class, and of its share;
+    the rates keep near theirs by the weight of ``TRUST`` texts.
+    """
+    first = np.clip(on_toxic, 1e-3, 1 - 1e-3), np.clip(on_clean, 1e-4, 1 - 1e-3)
+    on_toxic, on_clean = first
+    often = (votes.mean(axis=0) >= OFTEN) & (votes.mean(axis=0) <= 1 - OFTEN)
+    often &= np.maximum(on_toxic, on_clean) < MOSTLY
+    post, weight, model = np.full(len(votes), prior), np.ones(votes.shape[1]), {}
     for _ in range(rounds):
-        prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
-        on_toxic = (post @ votes + 0.5) / (post.sum() + 1.0)
-        on_clean = ((1 - post) @ votes + 0.5) / ((1 - post).sum() + 1.0)
+        # a voter that seldom marks abstains where it doesn't; the silence of others speaks too
+        silent = often * weight * np.log((1 - on_toxic) / (1 - on_clean))
+        logit = np.log(prior / (1 - prior)) + silent.sum() + votes @ (weight * np.log(on_toxic / on_clean) - silent)
+        new = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
+        moved, post = np.abs(new - post).max(initial=0), new
+        model = {"prior": prior, "on_toxic": on_toxic, "on_clean": on_clean, "weight": weight}
+        if moved < 1e-4:
+            break
+        prior = float(np.clip(post.mean(), 1e-3, 0.5))
+        on_toxic = (post @ votes + TRUST * first[0]) / (post.sum() + TRUST)
+        on_clean = ((1 - post) @ votes + TRUST * first[1]) / ((1 - post).sum() + TRUST)
         # correlation of two voters given the class: what is left of their product without the class's rates
         rest = votes - (post[:, None] * on_toxic + (1 - post)[:, None] * on_clean)
         scale = np.sqrt(np.maximum((rest**2).mean(axis=0), 1e-9))
-        correlation = np.clip((rest.T @ rest) / n / np.outer(scale, scale), 0, 1)
+        correlation = np.clip((rest.T @ rest) / len(votes) / np.outer(scale, scale), 0, 1)
         np.fill_diagonal(correlation, 1)
         correlation[correlation < 0.1] = 0
         weight = 1 / np.maximum(1, correlation.sum(axis=0))
-        marks = weight * (np.log(on_toxic) - np.log(on_clean))
-        # a voter that doesn't mark abstains: only marks speak
-        logit = np.log(prior / (1 - prior)) + votes @ marks + trust
-        new = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
-        model = {"prior": prior, "on_toxic": on_toxic, "on_clean": on_clean, "weight": weight}
-        if np.abs(new - post).max() < 1e-4:
-            break
-        post = new
     return post, model
 
 
@@ -106,7 +115,7 @@ def cut_between(logit: np.ndarray, toxic: np.ndarray) -> float:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """At most ``rows`` labelled rows that aren't held out, as (doc_id, f, p, toxic), chosen by a hash of doc_id."""
-    labels = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    labels = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(F.col("toxic").cast("int")).alias("toxic"))
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     common.small_batches(docs.sparkSession)
 
@@ -118,9 +127,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
                 names=["doc_id", "f", "p", "toxic"],
             )
 
-    # the broadcast side has at most `rows` rows; of an id that documents repeat one row is learned from
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-    return common.materialize(found.mapInArrow(run, "doc_id long, f array<string>, p array<boolean>, toxic int").dropDuplicates(["doc_id"]), "sample")
+    # the broadcast side has at most `rows` rows; of an id that documents repeat the least text is learned from
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
+    return common.materialize(found.mapInArrow(run, "doc_id long, f array<string>, p array<boolean>, toxic int"), "sample")
 
 
 class Scorer:
@@ -141,12 +150,13 @@ class Scorer:
 
 def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
     """Lexicon, label model and classifier, from the labelled sample."""
-    sample = labelled_sample(docs, labels)
-    total, toxic = sample.agg(F.count("*"), F.sum("toxic")).first()
+    sample = labelled_sample(docs, labels).withColumn("choosing", F.pmod(F.xxhash64("doc_id", F.lit("voters")), F.lit(3)) < 2)
+    choosing = sample.where("choosing")
+    total, toxic = choosing.agg(F.count("*"), F.sum("toxic")).first()
     if not total or not toxic or toxic == total:
         return Scorer({}, None)
     # how many toxic and clean texts have each feature; the most telling stay
-    seen = sample.select(F.explode("f").alias("f"), "toxic").groupBy("f").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("c"))
+    seen = choosing.select(F.explode("f").alias("f"), "toxic").groupBy("f").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("c"))
     seen = seen.where(F.col("a") + F.col("c") >= MIN_TEXTS)
     # two-proportion z: how sure it is that toxic texts have the feature more often
     both = (F.col("a") + F.col("c")) / F.lit(float(total))
@@ -156,19 +166,22 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
     lexicon = [f for f, _ in known][:LEXICON]
     voter = {f: i for i, f in enumerate(lexicon)}
     wanted = docs.sparkSession.createDataFrame([(f,) for f in place], "f string")
-    small = sample.withColumn("_r", F.monotonically_increasing_id()).select("_r", "doc_id", "p", "toxic", F.explode_outer("f").alias("f"))
-    small = small.join(F.broadcast(wanted.withColumn("known", F.lit(True))), "f", "left").groupBy("_r").agg(F.first("p").alias("p"), F.first("toxic").alias("toxic"), F.collect_list(F.when(F.col("known"), F.col("f"))).alias("f"), F.first("doc_id").alias("doc_id"))
+    small = sample.withColumn("_r", F.monotonically_increasing_id()).select("_r", "doc_id", "p", "toxic", "choosing", F.explode_outer("f").alias("f"))
+    small = small.join(F.broadcast(wanted.withColumn("known", F.lit(True))), "f", "left").groupBy("_r").agg(F.first("p").alias("p"), F.first("toxic").alias("toxic"), F.first("choosing").alias("choosing"), F.collect_list(F.when(F.col("known"), F.col("f"))).alias("f"), F.first("doc_id").alias("doc_id"))
     rows = small.orderBy("doc_id").collect()  # at most SAMPLE_ROWS rows of at most FEATURES words
-    votes = np.zeros((len(rows), len(lexicon) + 3))
+    votes = np.zeros((len(rows), len(lexicon) + 4))
     for i, r in enumerate(rows):
         votes[i, [voter[f] for f in r["f"] if f in voter]] = 1
-        votes[i, len(lexicon) :] = r["p"]
-    post, _ = label_model(votes, np.array([r["toxic"] for r in rows]))
+        votes[i, len(lexicon) : -1] = r["p"]
+    votes[:, -1] = ~votes[:, : len(lexicon)].any(axis=1)  # one voter marks texts without a word of the lexicon
+    label = np.array([r["toxic"] for r in rows])
+    of = lambda k: votes[np.array([r["choosing"] for r in rows]) & (label == k)].mean(axis=0)
+    post, _ = label_model(votes, of(1), of(0), toxic / total)
     sparse = [np.array([place[f] for f in r["f"]], np.int64) for r in rows]
     weights, bias = fit_linear(sparse, post, len(place))
-    # the score is THRESHOLD where the classifier parts the model's labels best
+    # the score is THRESHOLD where the classifier parts the sample's labels best
     logit = np.array([weights[x].sum() for x in sparse]) + bias
-    bias += np.log(THRESHOLD / (1 - THRESHOLD)) - cut_between(logit, (post >= 0.5).astype(float))
+    bias += np.log(THRESHOLD / (1 - THRESHOLD)) - cut_between(logit, label.astype(float))
     return Scorer({f: float(weights[i]) for f, i in place.items() if weights[i]}, bias)
 
 
