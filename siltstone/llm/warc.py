@@ -15,6 +15,7 @@ revisit it. An empty table gives an empty table. Columns other than page_id, url
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import re
 import uuid
@@ -34,16 +35,20 @@ ARCHIVE_BYTES = 16 << 20
 
 _CHUNK = 1 << 16
 _GZIP, _VERSION = b"\x1f\x8b\x08", b"WARC/"
+_LINE = re.compile(rb"WARC/\d\.\d\r\n")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r\n")
-#: The date and revisit profile of a record.
+#: The date of a record, types of records that are passed over, the revisit profile.
 _DATE = "2000-01-01T00:00:00Z"
+_OTHERS = ("warcinfo", "request", "metadata", "resource", "conversion", "continuation")
 _PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 _READ = "kind string, path string, at long, size long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, reason string"
 
 
 class Damaged(ValueError):
-    """Bytes that aren't a whole valid record."""
+    """Bytes that aren't a whole valid record; ``plain`` has what a failed gzip member gave before."""
+
+    plain = b""
 
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
@@ -94,15 +99,22 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
         while not z.eof:
             if not (part := data[k : k + _CHUNK]):
                 raise Damaged("truncated member")
+            before = z.copy()
             out.append(z.decompress(part))
             k += len(part)
-    except zlib.error as e:
-        raise Damaged(f"gzip: {str(e)[:60]}") from e
+    except (zlib.error, Damaged) as e:
+        failed = e if isinstance(e, Damaged) else Damaged(f"gzip: {str(e)[:60]}")
+        if isinstance(e, zlib.error):  # what the last bytes gave before they failed
+            with contextlib.suppress(zlib.error):
+                for i in range(len(part)):
+                    out.append(before.decompress(part[i : i + 1]))
+        failed.plain = b"".join(out)
+        raise failed from e
     return b"".join(out), k - len(z.unused_data)
 
 
-def _checked(headers: dict[str, str], block: bytes) -> dict:
-    """The fields of a record; its payload must have the digest that its header states."""
+def _checked(headers: dict[str, str], block: bytes) -> dict | None:
+    """The fields of a record, None for one without a page; its payload must have the digest that its header states."""
     head, _, payload = block.partition(b"\r\n\r\n")
     kind, stated = headers.get("warc-type"), headers.get("warc-payload-digest", "").removeprefix("sha256:")
     number = lambda k: int(v) if re.fullmatch(r"-?\d+", v := headers.get(k, "")) else None
@@ -113,38 +125,73 @@ def _checked(headers: dict[str, str], block: bytes) -> dict:
     elif kind == "revisit":
         m = re.search(rb"(?im)^content-length: *(\d+)", head)
         digest, size = stated, int(m[1]) if m else None
+    elif kind in _OTHERS:
+        return None
     else:
         raise Damaged("record type")
     return {"page_id": number("x-page-id"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": number("x-refers-to-page-id"), "payload": payload if kind == "response" else None}
 
 
+def _records_of(plain: bytes, sure: bool) -> Iterator[tuple[int, int, dict | str]]:
+    """(offset, bytes, fields or reason of a gap) of plain records. After a failure the search goes on at the next version line.
+
+    Of bytes that no checksum covers (not ``sure``) only payloads with their stated digest count."""
+    k, gap, reason = 0, None, ""
+    while k < len(plain):
+        try:
+            headers, block, end = _record_at(plain, k)
+            fields = _checked(headers, block)
+            if not sure and (fields is None or fields["record_type"] != "response" or "warc-payload-digest" not in headers):
+                raise Damaged("unchecked")
+        except Damaged as e:
+            if gap is None:
+                gap, reason = k, str(e)
+            m = _LINE.search(plain, k + 1)
+            k = m.start() if m else len(plain)
+            continue
+        if gap is not None:
+            yield gap, k - gap, reason
+            gap = None
+        if fields is not None:
+            yield k, end - k, fields
+        k = end
+    if gap is not None:
+        yield gap, len(plain) - gap, reason
+
+
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
-    """("record", offset, bytes, fields) or ("gap", offset, bytes, reason) for all of ``data``, in order."""
+    """("record", offset, bytes, fields) or ("gap", offset, bytes, reason) for all of ``data``, in order.
+
+    A gzip member has the offset and bytes of its own for all that is in it; a gap inside one says so in its reason. Of a member that
+    fails its check, the records whose payloads have their stated digest are kept, and its bytes up to the next start are a gap.
+    """
     at, gap, reason = 0, None, ""
     while at < len(data):
+        found: list[tuple[str, int, int, dict | str]] = []
         try:
             if data.startswith(_GZIP, at):
                 plain, end = _inflate(data, at)
-                found, k = [], 0
-                while k < len(plain):
-                    headers, block, k = _record_at(plain, k)
-                    found.append(_checked(headers, block))
-                if not found:
+                if not plain:
                     raise Damaged("empty member")
+                for k, size, x in _records_of(plain, True):
+                    found.append(("record", at, end - at, x) if isinstance(x, dict) else ("gap", at, end - at, f"in the member, {size} bytes at {k}: {x}"))
             else:
                 headers, block, end = _record_at(data, at)
-                found = [_checked(headers, block)]
+                if (fields := _checked(headers, block)) is not None:
+                    found.append(("record", at, end - at, fields))
         except Damaged as e:
             if gap is None:
                 gap, reason = at, str(e)
+            for _, _, x in _records_of(e.plain, False):
+                if isinstance(x, dict):
+                    yield "record", at, 0, x  # its bytes are the gap's
             m = _START.search(data, at + 1)
             at = m.start() if m else len(data)
             continue
         if gap is not None:
             yield "gap", gap, at - gap, reason
             gap = None
-        for x in found:
-            yield "record", at, end - at, x
+        yield from found
         at = end
     if gap is not None:
         yield "gap", gap, len(data) - gap, reason
@@ -189,7 +236,9 @@ def write_warc(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES
 
 
 def read_warc(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """Records and gaps of the archives that ``manifest`` lists (kind: "record" or "gap")."""
+    """Records and gaps of the archives that ``manifest`` (path, records) lists (kind: "record" or "gap").
+
+    An archive with another number of records than its manifest row states (null: unknown) has a gap of no bytes at its end that says so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -197,11 +246,12 @@ def read_warc(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFr
         store, base = fs.FileSystem.from_uri(folder)
         schema = pa.schema([("kind", pa.string()), ("path", pa.string()), ("at", pa.int64()), ("size", pa.int64()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("reason", pa.string())])
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with store.open_input_stream(f"{base}/{path}") as f:
                     data = f.read()
-                rows = []
+                rows, found = [], 0
                 for kind, at, size, x in salvage(data):
+                    found += kind == "record"
                     row = {"kind": kind, "path": path, "at": at, "size": size} | (x if kind == "record" else {"reason": x})
                     if not payloads:
                         row["payload"] = None
@@ -209,17 +259,21 @@ def read_warc(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFr
                     if len(rows) >= 1000:
                         yield pa.RecordBatch.from_pylist(rows, schema)
                         rows = []
+                if records is not None and found != records:
+                    rows.append({"kind": "gap", "path": path, "at": len(data), "size": 0, "reason": f"{found} records found, {records} written"})
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("path").repartition(n, "path").mapInArrow(run, _READ)
+    return manifest.select("path", "records").repartition(n, "path").mapInArrow(run, _READ)
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
     folder = common.scratch_path(spark, "warc")
     manifest = common.materialize(write_warc(with_revisits(common.table(spark, sf_dir, "pages")), folder), "manifest")
-    records = read_warc(manifest, folder, payloads=False).where("kind = 'record'")
+    # archives that were written just now must be whole: a gap fails the query instead of losing pages
+    damaged = F.raise_error(F.concat_ws(" ", F.lit("damaged archive:"), "path", F.col("at").cast("string"), "reason"))
+    records = read_warc(manifest, folder, payloads=False).where(F.when(F.col("kind") == "record", True).otherwise(damaged.cast("boolean")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

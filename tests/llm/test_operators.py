@@ -668,6 +668,41 @@ def test_salvage_goes_on_after_damage(harm):
     assert gaps and sum(n for _, _, n, _ in got) == len(data)
 
 
+def test_salvage_within_members():
+    raw = [warc.record_bytes(i, None, p := f"<p>{i}</p>".encode() * 400, hashlib.sha256(p).hexdigest(), None, False) for i in range(6)]
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    bad = raw[2].replace(b"<p>2", b"<p>9", 1)
+    whole = warc.member(info + raw[0] + raw[1] + bad + raw[3])
+    kinds = [(k, x["page_id"] if k == "record" else x) for k, _, _, x in warc.salvage(whole + warc.member(raw[4]))]
+    assert [x for k, x in kinds if k == "record"] == [0, 1, 3, 4] and len(kinds) == 5 and "digest" in kinds[2][1]
+    # the checksum at the end is lost, or the end of the last record: what has its digest is kept
+    for data, want in ((whole[:-6] + b"\0" * 6 + warc.member(raw[5]), [0, 1, 3, 5]), (warc.member(raw[0] + raw[1] + raw[4])[:-12], [0, 1])):
+        got = list(warc.salvage(data))
+        assert [x["page_id"] for k, *_, x in got if k == "record"][: len(want)] == want and any(k == "gap" for k, *_ in got)
+        assert sum(n for _, _, n, _ in got) >= len(data)
+
+
+def test_damage_is_logged(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 60, "x", 1) for i in range(30)] + [(99, "long", "long page " * 300_000, "x", 1)], "page_id long, url string, html string, digest string, path int")
+    folder = common.scratch_path(spark, "warc")
+    manifest = common.materialize(warc.write_warc(warc.with_revisits(pages), folder, 3000), "m")
+    row = manifest.where("records > 1").first()
+    path = folder.removeprefix("file://") + "/" + row["path"]
+    data = open(path, "rb").read()
+    open(path, "wb").write(data[: data.rindex(b"\x1f\x8b\x08")])  # the last member is gone without a trace
+    got = warc.read_warc(manifest, folder).groupBy("kind").count().collect()
+    assert {r["kind"]: r["count"] for r in got} == {"record": 30, "gap": 1}
+    gap = warc.read_warc(manifest, folder).where("kind = 'gap'").first()
+    assert gap["path"] == row["path"] and "written" in gap["reason"]
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    assert warc.op9_warc(spark, str(tmp_path)).count() == 31
+    empty = tmp_path / "none"
+    pages.where("false").write.parquet(str(empty / "pages.parquet"))
+    assert warc.op9_warc(spark, str(empty)).count() == 0
+    short = manifest.withColumn("records", F.col("records") + 1)
+    assert warc.read_warc(short, folder).where("kind = 'gap'").count() >= manifest.count()
+
+
 def test_salvage_of_plain_records():
     plain = [warc.record_bytes(i, None, b"<p>x</p>", hashlib.sha256(b"<p>x</p>").hexdigest(), None, False) for i in range(4)]
     plain[1] = plain[1].replace(b"<p>x</p>", b"<p>y</p>")
