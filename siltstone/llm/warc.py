@@ -220,7 +220,7 @@ def write_warc(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES
             for page, url, html, digest, first, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     path = f"{base}/{uuid.uuid4().hex}.warc.gz"
-                    out, n, size = store.open_output_stream(path), 0, 0
+                    out, n, size = store.open_output_stream(path, compression=None), 0, 0
                 out.write(raw := member(record_bytes(page, url, html.encode("utf-8"), digest, first, revisit)))
                 n, size = n + 1, size + len(raw)
                 if size >= archive_bytes:
@@ -247,7 +247,7 @@ def read_warc(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFr
         schema = pa.schema([("kind", pa.string()), ("path", pa.string()), ("at", pa.int64()), ("size", pa.int64()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("reason", pa.string())])
         for batch in batches:
             for path, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with store.open_input_stream(f"{base}/{path}") as f:
+                with store.open_input_stream(f"{base}/{path}", compression=None) as f:
                     data = f.read()
                 rows, found = [], 0
                 for kind, at, size, x in salvage(data):
