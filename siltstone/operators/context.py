@@ -142,9 +142,29 @@ def over_quota(calls: DataFrame, by: Sequence[str], order: Sequence[str], tool:
     return calls.withColumn("nth", F.row_number().over(w)).withColumn("status", F.when(F.col("nth") > limit, "blocked").otherwise("ok"))
 
 
-def stop_rule(step: Column, searches: Column, blocked: Column) -> Column:
-    """Whether a run should end: enough steps, and searches or blocked calls."""
-    return (step >= 6) & ((searches >= 6) | (blocked >= 2))
+#: Steps and searches after which a run without a snippet has stalled, blocked calls that do it at any step, characters that are least.
+STALL_STEP, STALL_SEARCHES, STALL_BLOCKED, LEAST_CHARS = 6, 6, 2, 600
+
+
+def stop_rule(step: Column, most_steps: Column, snippets: Column, chars: Column, searches: Column, blocked: Column, least_chars: int = LEAST_CHARS) -> Column:
+    """Why a run should end, NULL if it goes on: its steps are nearly used up and it has a context (at the last but one step, one of the
+    least size), or it has no snippet after many searches or blocked calls."""
+    budget = (snippets > 0) & (step >= most_steps - 1)
+    early = (step < most_steps) & (chars < max(LEAST_CHARS, least_chars))
+    stalled = F.when((step >= STALL_STEP) & (searches >= STALL_SEARCHES), "search_stall_without_snippets").when(blocked >= STALL_BLOCKED, "blocked_tool_stall_without_snippets")
+    return F.when(budget, F.when(~early, "step_budget_near_limit_with_context")).when(snippets == 0, stalled)
+
+
+def without_contained(items: Column) -> Column:
+    """Of an ordered array of structs with ``content`` those whose content no other has: one that lies in a kept one goes, one that
+    holds a kept one takes its place. Empty contents lie in none."""
+
+    def step(kept: Column, item: Column) -> Column:
+        inside = lambda a, b: (a["content"] != "") & b["content"].contains(a["content"])
+        hit = F.get(F.filter(F.transform(kept, lambda k, i: F.when(inside(item, k), -1 - i).when(inside(k, item), i)), lambda h: h.isNotNull()), F.lit(0))
+        return F.when(hit.isNull(), F.array_append(kept, item)).when(hit >= 0, F.transform(kept, lambda k, i: F.when(i == hit, item).otherwise(k))).otherwise(kept)
+
+    return F.aggregate(items, F.slice(items, 1, 0), step)
 
 
 def locate(rows: DataFrame, content: Sequence[str], keys: Sequence[str], preferred: Column) -> DataFrame:

@@ -90,23 +90,27 @@ def recency(df: DataFrame, low: float = 0.8, span: float = 0.4) -> DataFrame:
     return df.crossJoin(F.broadcast(ends)).withColumn("recency", F.lit(low) + F.lit(span) * scaled).drop("_a", "_b")
 
 
-def warmth(df: DataFrame, column: str, low: float = 0.7, span: float = 0.6) -> DataFrame:
-    """``warmth``: from low at the 10 % quantile of a column to low + span at the 90 % quantile."""
+def warmth(df: DataFrame, column: str, low: float = 0.7, span: float = 0.6, missing: float | None = 0.5) -> DataFrame:
+    """``warmth``: from low at the 10 % quantile of a column to low + span at the 90 % quantile; a missing value counts as the share ``missing``."""
     bottom, top = quantiles(df, column, (0.1, 0.9))
     if bottom is None:
-        return df.withColumn("warmth", F.lit(low + span * 0.5))
+        return df.withColumn("warmth", F.lit(low) + F.lit(span) * F.lit(missing).cast("double"))
     share = clip((F.col(column) - bottom) / max(top - bottom, 1e-6), 0.0, 1.0)
-    return df.withColumn("warmth", F.lit(low) + F.lit(span) * F.coalesce(share, F.lit(0.5)))
+    return df.withColumn("warmth", F.lit(low) + F.lit(span) * F.coalesce(share, F.lit(missing).cast("double")))
 
 
 def weighted(df: DataFrame, mode: str, warm_column: str) -> DataFrame:
-    """``weight``: the product of the parts that ``mode`` names (group, recency, warm), within [1e-4, 10]."""
+    """``weight``: the product of the parts that ``mode`` names, within [1e-4, 10].
+
+    Parts are ``device_month_equal`` (1 / rows of the device-month), ``recent`` and ``warm`` (missing where the warm column is;
+    no part where there is no such column); ``none`` and other names give 1."""
+    mode = mode.strip().lower()
     out, parts = df, []
-    if "recency" in mode:
+    if "recent" in mode:
         out, parts = recency(out), [*parts, F.col("recency")]
-    if "warm" in mode:
-        out, parts = warmth(out, warm_column), [*parts, F.col("warmth")]
-    if "group" in mode:
+    if "warm" in mode and warm_column in df.columns:
+        out, parts = warmth(out, warm_column, missing=None), [*parts, F.col("warmth")]
+    if "device_month_equal" in mode:
         parts.append(group_weight())
     product = F.lit(1.0)
     for p in parts:
@@ -119,11 +123,11 @@ def raw_weighted(df: DataFrame, warm_column: str) -> DataFrame:
 
 
 def blend_grid(df: DataFrame, y: str, a: str, b: str, step: float = 0.05) -> DataFrame:
-    """(w, mae) of w * a + (1 - w) * b for every w of the grid."""
+    """(w, mae) of w * a + (1 - w) * b, not below 0, for every w of the grid."""
     step = max(0.01, step)
     count = int(round(1 / step))
     w = df.sparkSession.range(count + 1).select((F.col("id") * F.lit(step)).alias("w"))
-    mixed = F.col("w") * F.col(a) + (1 - F.col("w")) * F.col(b)
+    mixed = clip(F.col("w") * F.col(a) + (1 - F.col("w")) * F.col(b), 0.0)
     return df.crossJoin(F.broadcast(w)).groupBy("w").agg(F.avg(F.abs(F.col(y) - mixed)).alias("mae"))
 
 

@@ -61,7 +61,7 @@ def macro_f1(rows: DataFrame) -> DataFrame:
     return f1(confusion(rows)).agg(F.avg("f1").alias("macro_f1"))
 
 
-def focal_loss(y: Column, p: Column, weight: Column, alpha: float = 0.25, gamma: float = 2.0) -> Column:
+def focal_loss(y: Column, p: Column, weight: Column, alpha: float = 0.5, gamma: float = 1.0) -> Column:
     """Focal cross entropy of one probability: clamped, weighted where y is 1."""
     q = clip(p, 1e-6, 1 - 1e-6)
     right = F.when(y == 1, q).otherwise(1 - q)

@@ -100,7 +100,7 @@ def agg_posweight(s, d):
     return r6(stats.positive_weights(_labels(s, d).select("class", F.col("y").alias("value"))))
 
 
-@R.add("agg_focal", d6(f"WITH {_LBL}, z AS (SELECT y, CASE WHEN y = 1 THEN c ELSE 1-c END AS r FROM (SELECT y, greatest(1e-6, least(1-1e-6, q)) AS c FROM u)) SELECT avg((CASE WHEN y = 1 THEN 0.25 ELSE 0.75 END)*power(1-r, 2.0)*-ln(r)*(CASE WHEN y = 1 THEN 2.0 ELSE 1.0 END)) AS loss FROM z", "loss"))
+@R.add("agg_focal", d6(f"WITH {_LBL}, z AS (SELECT y, CASE WHEN y = 1 THEN c ELSE 1-c END AS r FROM (SELECT y, greatest(1e-6, least(1-1e-6, q)) AS c FROM u)) SELECT avg((CASE WHEN y = 1 THEN 0.5 ELSE 0.5 END)*power(1-r, 1.0)*-ln(r)*(CASE WHEN y = 1 THEN 2.0 ELSE 1.0 END)) AS loss FROM z", "loss"))
 def agg_focal(s, d):
     return r6(_labels(s, d).agg(F.avg(stats.focal_loss(F.col("y"), F.col("q"), F.lit(2.0))).alias("loss")))
 

@@ -301,8 +301,8 @@ _fc("win_recency", f"SELECT deviceId, ym, t5, 0.8 + 0.4*(ym-a)/CASE WHEN b-a < 1
 _fc("agg_quantile", "SELECT quantile_cont(t5, 0.1) AS q10, quantile_cont(t5, 0.9) AS q90 FROM l", ["q10", "q90"], lambda x: x.sparkSession.createDataFrame([tuple(stats.quantiles(x, "t5", (0.1, 0.9)))], "q10 double, q90 double"))
 _WT = f"""SELECT deviceId, ym, t5, target_x2, CASE WHEN p < 1e-4 THEN 1e-4 WHEN p > 10 THEN 10 ELSE p END AS weight FROM (SELECT l.*, (0.8 + 0.4*(ym-a)/CASE WHEN b-a < 1 THEN 1 ELSE b-a END)
  * (0.7 + 0.6*CASE WHEN (t5-c)/(d-c) < 0 THEN 0 WHEN (t5-c)/(d-c) > 1 THEN 1 ELSE (t5-c)/(d-c) END) / count(*) OVER (PARTITION BY deviceId, year, month) AS p FROM l, {_REC}, (SELECT quantile_cont(t5,0.1) AS c, quantile_cont(t5,0.9) AS d FROM l) q)"""
-_fc("win_weights", _WT, ["t5", "target_x2", "weight"], lambda x: forecast.weighted(x, "group_recency_warm", "t5").select("deviceId", "ym", "t5", "target_x2", "weight"))
-_GRID = "g AS (SELECT CAST(i AS DOUBLE)*0.05::DOUBLE AS w FROM range(21) t(i)), b AS (SELECT w, avg(abs(target_x2 - (w*t1 + (1-w)*t5))) AS mae FROM l, g WHERE target_x2 IS NOT NULL GROUP BY w)"
+_fc("win_weights", _WT, ["t5", "target_x2", "weight"], lambda x: forecast.weighted(x, " Device_month_equal+recent+warm", "t5").select("deviceId", "ym", "t5", "target_x2", "weight"))
+_GRID = "g AS (SELECT CAST(i AS DOUBLE)*0.05::DOUBLE AS w FROM range(21) t(i)), b AS (SELECT w, avg(abs(target_x2 - CASE WHEN w*t1 + (1-w)*t5 < 0 THEN 0 ELSE w*t1 + (1-w)*t5 END)) AS mae FROM l, g WHERE target_x2 IS NOT NULL GROUP BY w)"
 _fc("fc_blend_grid", f", {_GRID} SELECT w, mae FROM b", ["w", "mae"], lambda x: forecast.blend_grid(forecast.labelled(x), "target_x2", "t1", "t5"))
 _fc("fc_blend", f", {_GRID} SELECT w, mae FROM b ORDER BY round(mae, 12), abs(w-1) > 1e-9, w LIMIT 1", ["w", "mae"], lambda x: forecast.best_blend(forecast.blend_grid(forecast.labelled(x), "target_x2", "t1", "t5")))
 _MONTHS = [(2001, m) for m in range(1, 12)]

@@ -327,7 +327,10 @@ def txt_reorder(s, d):
 
 @R.add("txt_dedupe_blocks")
 def txt_dedupe_blocks(s, d):
-    return C.contained(V.snip(s, d)).groupBy("path").agg(F.count("*").alias("n"))
+    """Turns of each conversation as blocks in order, by content; their order matters, so it is tested against brute force."""
+    blocks = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("content")))), lambda x: F.struct(x["turn"].alias("turn"), x["content"].alias("content")))
+    kept = V.table(s, d, "conversations").groupBy("conv_id").agg(blocks.alias("b")).select("conv_id", F.explode(C.without_contained(F.col("b"))).alias("k"))
+    return kept.select("conv_id", "k.turn")
 
 
 @R.add("join_contain", _SN("""SELECT DISTINCT a.selection FROM snip a JOIN snip b ON a.path = b.path AND a.selection <> b.selection AND b.start <= a.start AND b."end" >= a."end" AND (b.start < a.start OR b."end" > a."end" OR b.selection < a.selection)"""))
@@ -342,10 +345,14 @@ def ctx_quota(s, d):
     return C.over_quota(V.table(s, d, "conversations"), ["conv_id"], ["turn", "text"], "role", {}, 2).select("conv_id", "turn", "status")
 
 
-@R.add("ctx_autofinal", "SELECT conv_id, count(*) >= 6 AND (count(*) FILTER (role = 'user') >= 6 OR count(*) FILTER (role = 'assistant') >= 2) AS stop FROM conversations GROUP BY 1")
+# every branch has rows: steps 0 to 9 of 8, no to two snippets, few and many characters, searches and blocked calls
+@R.add("ctx_autofinal", """WITH z AS (SELECT event_id, event_id % 10 AS step, event_id // 10 % 3 AS snippets, event_id // 30 % 2 * 900 AS chars, event_id // 60 % 8 AS searches, event_id // 480 % 4 AS blocked FROM events)
+ SELECT event_id, CASE WHEN snippets > 0 AND step >= 7 THEN CASE WHEN step < 8 AND chars < 600 THEN NULL ELSE 'step_budget_near_limit_with_context' END
+  WHEN snippets = 0 AND step >= 6 AND searches >= 6 THEN 'search_stall_without_snippets' WHEN snippets = 0 AND blocked >= 2 THEN 'blocked_tool_stall_without_snippets' END AS stop FROM z""")
 def ctx_autofinal(s, d):
-    c = V.table(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if(F.col("role") == "user").alias("u"), F.count_if(F.col("role") == "assistant").alias("a"))
-    return c.select("conv_id", C.stop_rule(F.col("n"), F.col("u"), F.col("a")).alias("stop"))
+    part = lambda size, many: F.expr(f"CAST(event_id div {size} % {many} AS INT)")
+    stop = C.stop_rule(part(1, 10), F.lit(8), part(10, 3), part(30, 2) * 900, part(60, 8), part(480, 4))
+    return V.table(s, d, "events").select("event_id", stop.alias("stop"))
 
 
 # report aggregates

@@ -209,3 +209,38 @@ def test_context_buffer_keeps_its_budget():
     assert not b.add("big", 1, "x" * 1000)
     b.reset()
     assert b.preview() == ""
+
+
+def test_content_containment(spark):
+    import random
+
+    from siltstone.operators import context
+
+    def brute(blocks):
+        kept = []
+        for b in blocks:
+            for i, k in enumerate(kept):
+                if b[1] and b[1] in k[1]:
+                    break
+                if k[1] and k[1] in b[1]:
+                    kept[i] = b
+                    break
+            else:
+                kept.append(b)
+        return kept
+
+    rng = random.Random(3)
+    groups = [[(i, "".join(rng.choice("ab") for _ in range(rng.randrange(6)))) for i in range(rng.randrange(9))] for _ in range(60)]
+    df = spark.createDataFrame([(g, b) for g, b in enumerate(groups)], "g int, b array<struct<k:int,content:string>>")
+    got = {r["g"]: [(x["k"], x["content"]) for x in r["kept"]] for r in df.select("g", context.without_contained(F.col("b")).alias("kept")).collect()}
+    assert got == {g: brute(b) for g, b in enumerate(groups)}
+
+
+def test_weights_of_missing_warmth_and_names(spark):
+    from siltstone.operators import forecast
+
+    rows = [("1", 2024, 10, 202410, 1.0), ("1", 2024, 10, 202410, None), ("2", 2024, 12, 202412, 3.0)]
+    df = spark.createDataFrame(rows, "deviceId string, year int, month int, ym int, t1 double")
+    weight = lambda mode: [r["weight"] for r in forecast.weighted(df, mode, "t1").orderBy("deviceId", F.col("t1").isNull()).collect()]
+    assert weight("none") == [1.0] * 3 and weight("device_month_equal") == [0.5, 0.5, 1.0]
+    assert weight(" Recent") == pytest.approx([0.8, 0.8, 1.2]) and weight("warm")[1] is None and weight("warm")[0] == pytest.approx(0.7)
