@@ -157,12 +157,12 @@ def snk_parquet(s, d):
 
 def _datapoints(s, d):
     path = scratch(s, "datapoints")
-    x = V.doc(s, d).select(F.col("doc_id").cast("string").alias("id"), "source", F.lit("r1").alias("revision"), "path", F.array(F.col("path")).alias("modified"), F.substring("text", 1, 20).alias("prefix"), F.lit("").alias("suffix"))
+    x = V.doc(s, d).select(F.col("doc_id").cast("string").alias("id"), "source", F.lit("r1").alias("revision"), "path", F.array(F.col("path")).alias("modified"), F.col("text").alias("prefix"), F.lit("").alias("suffix"))
     sinks.json_lines(x.withColumnRenamed("source", "repo"), path, ["id"])
     return path
 
 
-@R.add("src_jsonl", "SELECT source AS repo, count(*) AS n, CAST(sum(length(substring(text,1,20))) AS BIGINT) AS chars FROM documents GROUP BY 1")
+@R.add("src_jsonl", "SELECT source AS repo, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1")
 def src_jsonl(s, d):
     x = readers.json_lines(s, _datapoints(s, d), schemas.DATAPOINTS)
     return x.groupBy("repo").agg(F.count("*").alias("n"), F.sum(F.char_length("prefix").cast("long")).alias("chars"))

@@ -161,12 +161,12 @@ _SAN = f"""{_CODED}, f AS (SELECT *, {_FORB} AS f FROM cl), g AS (SELECT *, sum(
  k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, start) AS k FROM z) SELECT doc_id, start, "end", code, score FROM k WHERE k = 1"""
 _line("ctx_sanitize", _SAN, ["score"], lambda x: C.sanitised(_coded(x), ["doc_id"]))
 
-# contexts: one per source, its documents as blocks
-_CTX = "cx AS (SELECT source, string_agg('<|file_sep|>' || path || chr(10) || text, chr(10) ORDER BY doc_id) AS context FROM doc WHERE doc_id % 7 = 0 GROUP BY source), bl AS (SELECT source, p[1] AS path, p[2] AS content, k FROM (SELECT source, unnest(range(1, len(a)+1)) - 1 AS k, unnest(a) AS raw FROM (SELECT source, string_split(context, '<|file_sep|>') AS a FROM cx)), LATERAL (SELECT [string_split(ltrim(raw, chr(10)), chr(10))[1], substring(ltrim(raw, chr(10)), instr(ltrim(raw, chr(10)), chr(10))+1)] AS p) WHERE regexp_matches(raw, '\\S'))"
+# contexts: one per source and run of fifty ids, its documents as blocks
+_CTX = "cx AS (SELECT source || ':' || (doc_id // 50) AS source, string_agg('<|file_sep|>' || path || chr(10) || text, chr(10) ORDER BY doc_id) AS context FROM doc GROUP BY 1), bl AS (SELECT source, p[1] AS path, p[2] AS content, k FROM (SELECT source, unnest(range(1, len(a)+1)) - 1 AS k, unnest(a) AS raw FROM (SELECT source, string_split(context, '<|file_sep|>') AS a FROM cx)), LATERAL (SELECT [string_split(ltrim(raw, chr(10)), chr(10))[1], substring(ltrim(raw, chr(10)), instr(ltrim(raw, chr(10)), chr(10))+1)] AS p) WHERE regexp_matches(raw, '\\S'))"
 
 
 def _contexts(x):
-    return C.rendered(x.where("doc_id % 7 = 0").select("source", F.col("doc_id").alias("selection"), "path", F.col("text").alias("content")), ["source"])
+    return C.rendered(x.select(F.concat("source", F.lit(":"), F.expr("CAST(doc_id div 50 AS STRING)")).alias("source"), F.col("doc_id").alias("selection"), "path", F.col("text").alias("content")), ["source"])
 
 
 _doc("txt_blocks", f"WITH {_CTX} SELECT source, CAST(k AS INT) AS k, path, content FROM bl", [], lambda x: X.blocks(_contexts(x), ["source"]))
@@ -200,15 +200,15 @@ def _row_metrics(x):
 
 _doc("txt_recover", "SELECT doc_id, CASE WHEN instr(text, ' the ') > 0 THEN CASE WHEN instr(substring(text, instr(text, ' the ')+5), '.') > 0 THEN substring(text, instr(text, ' the ')+5, instr(substring(text, instr(text, ' the ')+5), '.')-1) END END AS ref FROM doc", [], lambda x: x.select("doc_id", X.between(F.col("text"), F.lit(" the "), F.lit(".")).alias("ref")))
 _doc("txt_exact", "SELECT doc_id, text = concat(text, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'x' END) AS same FROM doc", [], lambda x: x.select("doc_id", X.exact_match(F.col("text"), F.concat("text", F.when(F.col("doc_id") % 2 == 0, "").otherwise("x"))).alias("same")))
-_CH = """WITH p AS (SELECT item_id, b.text AS a, d.text AS r FROM (SELECT item_id, substring(text,1,200) AS text FROM benchmark) b JOIN (SELECT doc_id, substring(text,1,200) AS text FROM documents) d ON d.doc_id = b.item_id * 3),
- g AS (SELECT item_id, o, substring(a, CAST(i AS BIGINT), o) AS g, 0 AS s FROM p, range(1,7) t(o), range(1, 201) u(i) WHERE i <= length(a)-o+1 UNION ALL SELECT item_id, o, substring(r, CAST(i AS BIGINT), o), 1 FROM p, range(1,7) t(o), range(1, 201) u(i) WHERE i <= length(r)-o+1),
+_CH = """WITH p AS (SELECT item_id, b.text AS a, d.text AS r FROM benchmark b JOIN documents d ON d.doc_id = b.item_id * 3),
+ g AS (SELECT item_id, o, substring(x, i, o) AS g, s FROM (SELECT item_id, o, x, s, unnest(range(1, length(x)-o+2)) AS i FROM (SELECT item_id, a AS x, 0 AS s FROM p UNION ALL SELECT item_id, r, 1 FROM p), range(1,7) t(o))),
  c AS (SELECT item_id, o, g, count(*) FILTER (s=0) AS x, count(*) FILTER (s=1) AS y FROM g GROUP BY ALL), q AS (SELECT item_id, o, sum(least(x,y)) AS m, sum(x) AS x, sum(y) AS y FROM c GROUP BY ALL),
  z AS (SELECT item_id, sum(coalesce(m/nullif(x,0),0))/6 AS p, sum(coalesce(m/nullif(y,0),0))/6 AS r FROM q GROUP BY 1) SELECT item_id, coalesce(5*p*r/nullif(4*p+r,0), 0) AS chrf FROM z"""
 
 
 def _pairs(s, d):
-    b = V.table(s, d, "benchmark").select("item_id", F.substring("text", 1, 200).alias("a"))
-    return b.join(V.table(s, d, "documents").select((F.col("doc_id") / 3).cast("long").alias("item_id"), "doc_id", F.substring("text", 1, 200).alias("r")).where("doc_id % 3 = 0"), "item_id")
+    b = V.table(s, d, "benchmark").select("item_id", F.col("text").alias("a"))
+    return b.join(V.table(s, d, "documents").select((F.col("doc_id") / 3).cast("long").alias("item_id"), "doc_id", F.col("text").alias("r")).where("doc_id % 3 = 0"), "item_id")
 
 
 @R.add("txt_chrf", d6(_CH, "chrf"))
