@@ -79,7 +79,7 @@ def strength(path: Column, target: Column, modified: Column, same_dir: Column, p
     score = F.when(path == target, 1000.0).otherwise(0.0) + F.when(modified, 350.0).otherwise(0.0) + F.when(same_dir, 220.0).otherwise(0.0)
     if priority is not None:
         score = score + 20.0 * F.greatest(F.lit(0), 10 - priority)
-    return score + 0.4 * F.least(n_lines, F.lit(220)) - F.when(is_metadata_path(path), 320.0).otherwise(0.0) - F.when(is_broad_test(path, target), 220.0).otherwise(0.0)
+    return score + 0.4 * F.least(n_lines, F.lit(220)) - F.when((path != target) & is_metadata_path(path), 320.0).otherwise(0.0) - F.when(is_broad_test(path, target), 220.0).otherwise(0.0)
 
 
 def top_support(snippets: DataFrame, by: Sequence[str], is_target: Column, order: Sequence[Column], most: int) -> DataFrame:
@@ -155,18 +155,42 @@ def stop_rule(step: Column, most_steps: Column, snippets: Column, chars: Column,
     return F.when(budget, F.when(~early, "step_budget_near_limit_with_context")).when(snippets == 0, stalled)
 
 
-def without_contained(items: Column) -> Column:
+def without_contained(items: Column, by: str | None = None) -> Column:
     """Of an ordered array of structs with ``content`` those whose content no other has: one that lies in a kept one goes, one that
-    holds a kept one takes its place. Empty contents lie in none."""
+    holds a kept one takes its place. Empty contents lie in none. With ``by``, only structs that agree in that field are compared."""
 
     def step(kept: Column, item: Column) -> Column:
-        inside = lambda a, b: (a["content"] != "") & b["content"].contains(a["content"])
+        alike = lambda a, b: F.lit(True) if by is None else a[by] == b[by]
+        inside = lambda a, b: alike(a, b) & (a["content"] != "") & b["content"].contains(a["content"])
         hit = F.get(F.filter(F.transform(kept, lambda k, i: F.when(inside(item, k), -1 - i).when(inside(k, item), i)), lambda h: h.isNotNull()), F.lit(0))
         return F.when(hit.isNull(), F.array_append(kept, item)).when(hit >= 0, F.transform(kept, lambda k, i: F.when(i == hit, item).otherwise(k))).otherwise(kept)
 
     return F.aggregate(items, F.slice(items, 1, 0), step)
 
 
+def reordered(found: DataFrame, by: Sequence[str], target: Column, modified: Column, budget: int | None = None, most: int | None = None) -> DataFrame:
+    """(by, place, k, path, content): the blocks of each context without redundant ones, the strongest first, ties as they stood; the
+    first ``most``, and of these what fits ``budget`` as rendered blocks.
+
+    found: by, k, path, content. target is a context's own path, modified whether a block's path was changed. One array a context."""
+    folder = F.regexp_extract(target, "^(.*/)[^/]+$", 1)
+    near = (folder != "") & F.col("path").startswith(folder)
+    n_lines = F.when(F.col("content") == "", 0).otherwise(F.size(F.split("content", "\n")))
+    score = F.round(strength(F.col("path"), target, modified, near, None, n_lines), 9)
+    item = F.struct("k", "path", "content", (-score).alias("s"))
+    kept = without_contained(F.array_sort(F.collect_list(item)), "path")
+    ordered = F.array_sort(F.transform(kept, lambda b: F.struct(b["s"].alias("s"), b["k"].alias("k"), b["path"].alias("path"), b["content"].alias("content"))))
+    lists = found.groupBy(*by).agg(ordered.alias("_o"))
+    if most:
+        lists = lists.withColumn("_o", F.slice("_o", 1, most))
+    if budget:
+        # every block but the first has a line break before it
+        size = lambda b: F.char_length(b["path"]) + F.char_length(b["content"]) + (len(SEPARATOR) + 2)
+        fits = greedy_fit(F.transform("_o", lambda b, i: F.struct(i.cast("long").alias("k"), size(b).cast("long").alias("size"))), budget + 1)
+        lists = lists.withColumn("_f", fits).withColumn("_o", F.transform("_f", lambda i: F.get("_o", i.cast("int"))))
+    return lists.select(*by, F.posexplode("_o").alias("place", "_b")).select(*by, "place", "_b.k", "_b.path", "_b.content")
+
+
 def locate(rows: DataFrame, content: Sequence[str], keys: Sequence[str], preferred: Column) -> DataFrame:
     """(keys, start, end): the lines of each file that a content's first lines (at most twelve) stand on, nearest to ``preferred``."""
     from .text import find_sequence

@@ -251,6 +251,31 @@ def alignment(total: Column, prefix: Column, suffix: Column) -> list[Column]:
     ]
 
 
+# Lines before, after and around what is found of a target, the same around an estimate, and the longest window.
+WINDOW_BEFORE, WINDOW_AFTER, ESTIMATE_BEFORE, ESTIMATE_AFTER, LONGEST_WINDOW = 48, 180, 64, 220, 320
+
+
+def target_window(total: Column, prefix: Column, suffix: Column, prefix_at: Column, suffix_at: Column, anchor: Column) -> list[Column]:
+    """start, end, rule of the window around a gap; all NULL for an empty target.
+
+    total, prefix and suffix are line counts; prefix_at and suffix_at say on which lines the two were found (start, end; NULL
+    where they weren't); anchor is the definition line nearest to the estimate, taken where the counts contradict each other."""
+    consistent = alignment(total, prefix, suffix)[3]
+    inside = lambda line: F.greatest(F.lit(1), F.least(total, line))
+    gap, rest = inside(prefix + 1), inside(total - suffix + 1)
+    rules = [
+        ("mismatch", ~consistent, anchor - ESTIMATE_BEFORE, anchor + ESTIMATE_AFTER),
+        ("both", prefix_at["end"] < suffix_at["start"], prefix_at["start"] - WINDOW_BEFORE, suffix_at["end"] + WINDOW_BEFORE),
+        ("prefix", prefix_at.isNotNull(), prefix_at["start"] - WINDOW_BEFORE, prefix_at["end"] + WINDOW_AFTER),
+        ("suffix", suffix_at.isNotNull(), suffix_at["start"] - WINDOW_AFTER, suffix_at["end"] + WINDOW_BEFORE),
+        ("estimate", rest >= gap, gap - ESTIMATE_BEFORE, rest + WINDOW_BEFORE),
+        ("focus", F.lit(True), gap - ESTIMATE_BEFORE, gap + ESTIMATE_AFTER),
+    ]
+    first = F.coalesce(*(F.when(holds, F.struct(F.greatest(F.lit(1), low).cast("long").alias("start"), F.least(total, high).cast("long").alias("end"), F.lit(name).alias("rule"))) for name, holds, low, high in rules))
+    some = F.when(total > 0, first)
+    return [some["start"].alias("start"), F.least(some["end"], some["start"] + LONGEST_WINDOW).alias("end"), some["rule"].alias("rule")]
+
+
 # blocks of a context
 
 
@@ -288,6 +313,17 @@ def between(text: Column, prefix: Column, suffix: Column) -> Column:
     return F.when(at > 0, F.when(F.char_length(suffix) == 0, rest).when(stop > 0, F.substr(rest, F.lit(1), stop - 1)))
 
 
+def first_reference(candidates: DataFrame, keys: Sequence[str], rank: str, prefix: Column, suffix: Column, text: str = "text") -> DataFrame:
+    """The candidate of each record that comes first by ``rank`` (the target before the changed files, in their order) among those
+    that hold the text between prefix and suffix, with that text as ``ref``; records without one are left out.
+
+    One aggregate with map-side combination: only one candidate of a record is kept a task."""
+    found = candidates.withColumn("ref", between(newlines(F.col(text)), newlines(prefix), newlines(suffix))).drop(text).where("ref is not null")
+    rest = [c for c in found.columns if c not in keys]
+    best = found.groupBy(*keys).agg(F.min_by(F.struct(*rest), rank).alias("_b"))
+    return best.select(*keys, *(F.col(f"_b.{c}").alias(c) for c in rest))
+
+
 def chrf(pairs: DataFrame, keys: Sequence[str], a: str, b: str, order: int = 6, beta: float = 2.0) -> DataFrame:
     """(keys, chrf): F score of character n-grams of 1 to ``order``, averaged over the orders. Both empty gives 1, one empty 0.
 

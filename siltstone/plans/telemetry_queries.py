@@ -175,7 +175,7 @@ _project(
 _project("flt_valid_ts", "SELECT event_id FROM tel WHERE event_id % 5 <> 0", [], lambda t: t.where(dates.parse_time(F.when(F.col("event_id") % 5 != 0, F.col("timedate").cast("string")).otherwise("?")).isNotNull()).select("event_id"))
 
 
-@R.add("dt_freq_norm")
+@R.add("dt_freq_norm", "SELECT freq, CAST(coalesce(nullif(regexp_extract(freq, '^[0-9]+'), ''), '1') AS BIGINT) * CASE lower(regexp_extract(freq, '[A-Za-z]+')) WHEN 'd' THEN 86400 WHEN 'h' THEN 3600 WHEN 'min' THEN 60 END AS seconds FROM (VALUES ('D'), ('d'), ('12h'), ('6H'), ('1h'), ('30min'), ('30MIN')) t(freq)")
 def dt_freq_norm(s, d):
     return s.createDataFrame([(f, dates.freq_seconds(f)) for f in ("D", "d", "12h", "6H", "1h", "30min", "30MIN")], "freq string, seconds long")
 

@@ -319,10 +319,9 @@ def topk_support(s, d):
 
 @R.add("txt_reorder")
 def txt_reorder(s, d):
-    """Snippets without contained ones, by size, that fit a budget greedily."""
-    kept = C.contained(V.snip(s, d))
-    items = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("size_lines")).alias("o"), F.col("selection").alias("k"), F.col("size_chars").alias("size")))), lambda x: F.struct(x["k"].alias("k"), x["size"].alias("size")))
-    return kept.groupBy("path").agg(items.alias("items")).select("path", F.explode(C.greedy_fit(F.col("items"), 4000)).alias("selection"))
+    """Turns of each conversation as blocks of the speaker's file: without contained ones, the user's first, within a budget."""
+    turns = V.table(s, d, "conversations").select("conv_id", F.col("turn").alias("k"), F.concat(F.lit("talk/"), F.coalesce("role", F.lit("")), F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    return C.reordered(turns, ["conv_id"], F.lit("talk/user.txt"), F.col("path") == "talk/assistant.txt", 4000, 12).select("conv_id", "place", "k", "path")
 
 
 @R.add("txt_dedupe_blocks")
@@ -408,11 +407,19 @@ def join_position(s, d):
     return placed(V.table(s, d, "documents"), "doc_id").join(placed(V.table(s, d, "benchmark"), "item_id"), "k")
 
 
-@R.add("join_ref_match")
+_AFTER = "substring(text, instr(text, ' the ') + 5)"
+
+
+# a source's longest document is its target, every fifth one is changed, the latest first
+@R.add("join_ref_match", V.with_views(f"""WITH t AS (SELECT source, arg_max(doc_id, (length(text), doc_id)) AS t FROM doc GROUP BY 1),
+ c AS (SELECT source, doc_id, CASE WHEN doc_id = t THEN -1 ELSE 1000000000 - doc_id END AS rank, CASE WHEN instr(text, ' the ') > 0 AND instr({_AFTER}, '.') > 0 THEN substring({_AFTER}, 1, instr({_AFTER}, '.') - 1) END AS ref FROM doc JOIN t USING (source) WHERE doc_id = t OR doc_id % 5 = 0)
+ SELECT source, doc_id, ref FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank) AS k FROM c WHERE ref IS NOT NULL) WHERE k = 1""", "doc"))
 def join_ref_match(s, d):
-    """Of each source's candidates, in order, the first whose text has the sought sentence."""
-    x = V.doc(s, d).withColumn("ref", X.between(F.col("text"), F.lit(" the "), F.lit(".")))
-    return x.where(F.col("ref").isNotNull()).groupBy("source").agg(F.min_by(F.struct("doc_id", "ref"), "doc_id").alias("b")).select("source", "b.doc_id", "b.ref")
+    """Of each source's candidates, the target and then the changed ones in order, the first whose text has the sought sentence."""
+    x = V.doc(s, d).select("source", "doc_id", "text")
+    target = x.groupBy("source").agg(F.max_by("doc_id", F.struct(F.char_length("text"), "doc_id")).alias("t"))
+    ranked = x.join(target, "source").where("doc_id = t or doc_id % 5 = 0").withColumn("rank", F.when(F.col("doc_id") == F.col("t"), -1).otherwise(1_000_000_000 - F.col("doc_id"))).drop("t")
+    return X.first_reference(ranked, ["source"], "rank", F.lit(" the "), F.lit(".")).select("source", "doc_id", "ref")
 
 
 @R.add("txt_suggest")
@@ -432,8 +439,18 @@ def txt_suggest(s, d):
     return once.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("o", "path", "start", "end"))).where("k <= 6")
 
 
-@R.add("txt_target_window", _SN("SELECT selection, CASE WHEN size_lines <= 20 THEN 'prefix' ELSE 'both' END AS kind, greatest(1, anchor-48) AS start, least(anchor+180, greatest(1, anchor-48)+319) AS \"end\" FROM snip"))
+# every rule has rows: targets of 0 to 599 lines; prefix and suffix known by count, each found or not, also in the wrong order
+_TW = "z AS (SELECT o_orderkey AS k, o_orderkey * 7 % 600 AS t, o_custkey * 11 % 400 AS p, o_orderkey * 13 % 300 AS s, o_orderkey % 5 < 3 AS fp, o_custkey % 4 < 2 AS fs, o_custkey * 17 % 500 + 1 AS ps, o_orderkey * 19 % 500 + 1 AS ss FROM orders)"
+
+
+@R.add("txt_target_window", f"""WITH {_TW}, y AS (SELECT *, p > t + 6 OR s > t + 6 OR t - s < p AS bad, least(t, p + 1) AS g, greatest(1, least(t, t - s + 1)) AS r FROM z WHERE t > 0),
+ x AS (SELECT k, t, CASE WHEN bad THEN 'mismatch' WHEN fp AND fs AND ps + 11 < ss THEN 'both' WHEN fp THEN 'prefix' WHEN fs THEN 'suffix' WHEN r >= g THEN 'estimate' ELSE 'focus' END AS rule, g, r, ps, ss FROM y),
+ w AS (SELECT k, rule, greatest(1, CASE rule WHEN 'both' THEN ps - 48 WHEN 'prefix' THEN ps - 48 WHEN 'suffix' THEN ss - 180 ELSE g - 64 END) AS start,
+  least(t, CASE rule WHEN 'mismatch' THEN g + 220 WHEN 'both' THEN ss + 11 + 48 WHEN 'prefix' THEN ps + 11 + 180 WHEN 'suffix' THEN ss + 11 + 48 WHEN 'estimate' THEN r + 48 ELSE g + 220 END) AS e FROM x)
+ SELECT z.k, start, least(e, start + 320) AS "end", rule FROM z LEFT JOIN w ON z.k = w.k""")
 def txt_target_window(s, d):
-    x = V.snip(s, d)
-    start = F.greatest(F.lit(1), F.col("anchor") - 48)
-    return x.select("selection", F.when(F.col("size_lines") <= 20, "prefix").otherwise("both").alias("kind"), start.alias("start"), F.least(F.col("anchor") + 180, start + 319).alias("end"))
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    total, prefix, suffix = key * 7 % 600, cust * 11 % 400, key * 13 % 300
+    at = lambda found, line: F.when(found, F.struct(line.alias("start"), (line + 11).alias("end")))
+    window = X.target_window(total, prefix, suffix, at(key % 5 < 3, cust * 17 % 500 + 1), at(cust % 4 < 2, key * 19 % 500 + 1), F.least(total, prefix + 1))
+    return V.table(s, d, "orders").select(key.alias("k"), *window)

@@ -244,3 +244,52 @@ def test_weights_of_missing_warmth_and_names(spark):
     weight = lambda mode: [r["weight"] for r in forecast.weighted(df, mode, "t1").orderBy("deviceId", F.col("t1").isNull()).collect()]
     assert weight("none") == [1.0] * 3 and weight("device_month_equal") == [0.5, 0.5, 1.0]
     assert weight(" Recent") == pytest.approx([0.8, 0.8, 1.2]) and weight("warm")[1] is None and weight("warm")[0] == pytest.approx(0.7)
+
+
+def test_reordered_blocks(spark):
+    """Against a plain version: redundant blocks of a path go, the strongest come first, and what fits is taken."""
+    import random
+
+    from siltstone.operators import context
+
+    target, changed = "a/b/main.py", {"a/c/x.py"}
+    paths = [target, "a/c/x.py", "a/b/near.py", "tests/test_far.py", "a/b/README.md", "docs/notes.txt"]
+    worth = {target: 1220.0, "a/c/x.py": 350.0, "a/b/near.py": 220.0, "tests/test_far.py": -220.0, "a/b/README.md": 220.0 - 320.0, "docs/notes.txt": 0.0}
+
+    def plain(blocks, budget, most):
+        kept = []
+        for b in blocks:
+            hit = next((i for i, x in enumerate(kept) if x[1] == b[1] and (b[2] and b[2] in x[2] or x[2] and x[2] in b[2])), None)
+            if hit is None:
+                kept.append(b)
+            elif not (b[2] and b[2] in kept[hit][2]):
+                kept[hit] = b
+        lines = lambda c: len(c.split("\n")) if c else 0
+        kept = sorted(kept, key=lambda b: (-round(worth[b[1]] + 0.4 * min(220, lines(b[2])), 9), b[0]))[:most]
+        out, used = [], 0
+        for b in kept:
+            size = len("<|file_sep|>") + len(b[1]) + 1 + len(b[2])
+            if not out and size > budget:
+                return [b]
+            if used + size + bool(out) <= budget:
+                used += size + bool(out)
+                out.append(b)
+        return out
+
+    rng = random.Random(9)
+    groups = [[(i, rng.choice(paths), "\n".join(rng.choice(("x", "y", "")) for _ in range(rng.randrange(6)))) for i in range(rng.randrange(1, 10))] for _ in range(60)]
+    found = spark.createDataFrame([(g, *b) for g, bs in enumerate(groups) for b in bs], "g int, k int, path string, content string")
+    for budget, most in ((70, 4), (30, 10), (10_000, 10)):
+        got = {}
+        for r in context.reordered(found, ["g"], F.lit(target), F.col("path").isin(*changed), budget, most).orderBy("g", "place").collect():
+            got.setdefault(r["g"], []).append((r["k"], r["path"], r["content"]))
+        assert got == {g: plain(bs, budget, most) for g, bs in enumerate(groups)}
+
+
+def test_first_reference_takes_the_target_before_the_changed_files(spark):
+    from siltstone.operators import text
+
+    rows = [("r", 0, "t.py", "no prefix"), ("r", 2, "c.py", "A late B"), ("r", 1, "b.py", "A\r\nearly B"), ("s", 0, "t.py", "A  B"), ("s", 1, "b.py", "A x B"), ("u", 0, "t.py", None)]
+    df = spark.createDataFrame(rows, "rec string, rank int, path string, text string")
+    got = {r["rec"]: (r["path"], r["ref"]) for r in text.first_reference(df, ["rec"], "rank", F.lit("A"), F.lit("B")).collect()}
+    assert got == {"r": ("b.py", "\nearly "), "s": ("t.py", "  ")}
