@@ -214,6 +214,18 @@ def expanded(rows: DataFrame, keys: Sequence[str], anchor: Column, floor: int, s
     return sums.select(*keys, step.alias("step"), size.cast("long").alias("chars"))
 
 
+def shrunk(start: int, lines: list[str], anchor: int | None, target: int) -> tuple[int, list[str], int | None]:
+    """A snippet of at most ``target`` lines (at least 12) around its anchor; as it is if it has no more."""
+    want = max(LEAST_COMPRESSED, min(target, len(lines)))
+    if want >= len(lines):
+        return start, lines, anchor
+    at = anchor if anchor is not None else start + len(lines) // 2
+    index = min(len(lines) - 1, max(0, at - start))
+    first = max(0, min(max(0, index - want // 2), len(lines) - want))
+    start, lines = start + first, lines[first : first + want]
+    return start, lines, min(max(at, start), start + want - 1)
+
+
 class ContextBuffer:
     """A context that is built call by call: add, compress, preview, reset. Snippets are (path, start, content, anchor)."""
 
@@ -229,17 +241,7 @@ class ContextBuffer:
 
     def compress(self, target: int) -> None:
         """Shrink every snippet to ``target`` lines (at least 12) around its anchor."""
-        out = []
-        for path, start, lines, anchor in self.snippets:
-            want = max(LEAST_COMPRESSED, min(target, len(lines)))
-            if want < len(lines):
-                at = anchor if anchor is not None else start + len(lines) // 2
-                index = min(len(lines) - 1, max(0, at - start))
-                first = max(0, min(max(0, index - want // 2), len(lines) - want))
-                start, lines = start + first, lines[first : first + want]
-                anchor = min(max(at, start), start + want - 1)
-            out.append((path, start, lines, anchor))
-        self.snippets = out
+        self.snippets = [(path, *shrunk(start, lines, anchor, target)) for path, start, lines, anchor in self.snippets]
 
     def add(self, path: str, start: int, content: str, anchor: int | None = None) -> bool:
         """Add a snippet; the oldest go beyond ``most``, all shrink until the budget holds; False if the new one doesn't fit even then."""
@@ -264,3 +266,51 @@ def replayed(calls: DataFrame, by: str, budget: int, most: int = 5) -> DataFrame
         return pd.DataFrame({by: [frame[by].iloc[0]], "context": [buffer.preview()]})
 
     return calls.groupBy(by).applyInPandas(run, f"{by} {dict(calls.dtypes)[by]}, context string")
+
+
+# Fixed values, for a large and a small target: characters and lines that supports shrink to; supports kept, and those kept of a small target that isn't chosen.
+FINAL_CHARS, FINAL_LINES = (10_800, 11_800), ((56, 40, 32, 24), (72, 56, 40, 32))
+FINAL_SUPPORTS, FINAL_SUPPORTS_ALONE = 2, 3
+
+
+def final_pack(snippets: DataFrame, by: str, budget: int = 12_000) -> DataFrame:
+    """(by, place, path, start, content): the finished context of each record, the strongest snippet first.
+
+    snippets: by, selection, path, start, content, anchor, base (its strength without lines), own (of the target), small (the target
+    is). Of the supports only the best stay, the later of equal ones; while the context is over its budget they shrink, the weakest
+    first, by one step of lines after the other, and then the weakest go. The target's snippets stay as they are, even over the budget.
+    Nulls: a null content is empty, a null base 0, a null own or small false. A record's chosen snippets are one task."""
+    import pandas as pd
+
+    def strength_of(s: dict) -> float:
+        return round(s["base"] + 0.4 * min(len(s["lines"]), 220), 9)
+
+    def chars(kept: list[dict]) -> int:
+        return sum(len(SEPARATOR) + len(s["path"]) + 1 + sum(map(len, s["lines"])) + len(s["lines"]) for s in kept) - 1
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        kept = []
+        for r in frame.itertuples():
+            content = r.content if isinstance(r.content, str) else ""
+            base = 0.0 if pd.isna(r.base) else float(r.base)
+            kept.append({"path": r.path or "", "start": int(r.start), "lines": content.split("\n"), "anchor": None if pd.isna(r.anchor) else int(r.anchor), "selection": int(r.selection), "base": base, "own": r.own is not None and not pd.isna(r.own) and bool(r.own)})
+        small = bool(frame["small"].fillna(False).any())
+        most = FINAL_SUPPORTS_ALONE if small and not any(s["own"] for s in kept) else FINAL_SUPPORTS
+        room = min(budget, FINAL_CHARS[small])
+        kept.sort(key=lambda s: (-strength_of(s), s["selection"]))
+        supports = sorted((s for s in kept if not s["own"]), key=lambda s: (strength_of(s), s["selection"]))
+        supports = supports[max(0, len(supports) - most) :]
+        kept = [s for s in kept if s["own"] or any(s is x for x in supports)]
+        for s, target in ((s, target) for target in FINAL_LINES[small] for s in supports):
+            if chars(kept) <= room:
+                break
+            s["start"], s["lines"], s["anchor"] = shrunk(s["start"], s["lines"], s["anchor"], target)
+        while supports and chars(kept) > room:
+            weakest = min(supports, key=lambda s: (strength_of(s), -s["selection"]))
+            supports = [s for s in supports if s is not weakest]
+            kept = [s for s in kept if s is not weakest]
+        key = frame[by].iloc[0]
+        return pd.DataFrame([(key, i, s["path"], s["start"], "\n".join(s["lines"])) for i, s in enumerate(kept)], columns=[by, "place", "path", "start", "content"])
+
+    columns = [by, "selection", "path", "start", "content", "anchor", "base", "own", "small"]
+    return snippets.select(*columns).groupBy(by).applyInPandas(run, f"{by} {dict(snippets.dtypes)[by]}, place int, path string, start long, content string")

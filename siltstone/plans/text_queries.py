@@ -301,6 +301,17 @@ def ctx_pack(s, d):
     return C.packed(V.snip(s, d), ["path"], "size_lines", 4000).select("path", "selection")
 
 
+@R.add("ctx_pack_final")
+def ctx_pack_final(s, d):
+    """Finished contexts of a source's documents by runs of a hundred ids: the first path is the target; tested on hand-written snippets."""
+    x = V.doc(s, d).select(F.concat("source", F.lit(":"), F.expr("CAST(doc_id div 100 AS STRING)")).alias("record"), "doc_id", "path", "text")
+    target = x.groupBy("record").agg(F.min("path").alias("target"), F.min_by(F.char_length("text") <= 2200, "path").alias("small"))
+    near = F.col("path").startswith(F.regexp_extract("target", "^(.*/)[^/]+$", 1))
+    base = C.strength(F.col("path"), F.col("target"), F.col("doc_id") % 5 == 0, near, None, F.lit(0))
+    snippets = x.join(target, "record").select("record", F.col("doc_id").alias("selection"), "path", F.lit(1).alias("start"), F.col("text").alias("content"), F.lit(None).cast("int").alias("anchor"), base.alias("base"), (F.col("path") == F.col("target")).alias("own"), "small")
+    return C.final_pack(snippets, "record").select("record", "place", "path", "start", F.char_length("content").alias("chars"))
+
+
 @R.add("ctx_reason", _SN("WITH z AS (SELECT path, sum(size_chars) AS u, max(size_lines) AS w, count(*) AS n FROM snip GROUP BY 1) SELECT path, CASE WHEN n <= 1 THEN NULL WHEN u >= 22500 THEN 'near_char_budget' WHEN w > 80 THEN 'wide_snippets' WHEN n >= 4 THEN 'many_snippets' WHEN greatest(0, 30000-u) <= 4000 THEN 'low_remaining_chars' END AS reason FROM z"))
 def ctx_reason(s, d):
     z = V.snip(s, d).groupBy("path").agg(F.sum("size_chars").alias("u"), F.max("size_lines").alias("w"), F.count("*").alias("n"))
@@ -439,7 +450,7 @@ def txt_suggest(s, d):
     return once.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("o", "path", "start", "end"))).where("k <= 6")
 
 
-# every rule has rows: targets of 0 to 599 lines; prefix and suffix known by count, each found or not, also in the wrong order
+# rows for every rule but the last, which consistent counts never reach: targets of 0 to 599 lines, prefix and suffix each found or not, also in the wrong order
 _TW = "z AS (SELECT o_orderkey AS k, o_orderkey * 7 % 600 AS t, o_custkey * 11 % 400 AS p, o_orderkey * 13 % 300 AS s, o_orderkey % 5 < 3 AS fp, o_custkey % 4 < 2 AS fs, o_custkey * 17 % 500 + 1 AS ps, o_orderkey * 19 % 500 + 1 AS ss FROM orders)"
 
 

@@ -293,3 +293,33 @@ def test_first_reference_takes_the_target_before_the_changed_files(spark):
     df = spark.createDataFrame(rows, "rec string, rank int, path string, text string")
     got = {r["rec"]: (r["path"], r["ref"]) for r in text.first_reference(df, ["rec"], "rank", F.lit("A"), F.lit("B")).collect()}
     assert got == {"r": ("b.py", "\nearly "), "s": ("t.py", "  ")}
+
+
+def test_final_pack_prunes_shrinks_and_drops(spark):
+    from siltstone.operators import context
+
+    def snippet(record, selection, path, n, base, width=9, own=False, small=False, anchor=None):
+        return (record, selection, path, 1, "\n".join(f"{i:0{width}d}" for i in range(1, n + 1)), anchor, base, own, small)
+
+    rows = [
+        # three supports beside the target: two stay, of the equal ones the later
+        snippet("prune", 0, "a", 5, 10.0), snippet("prune", 1, "b", 5, 10.0), snippet("prune", 2, "c", 5, 50.0), snippet("prune", 3, "t", 5, 1000.0, own=True),
+        # a small target that isn't chosen leaves room for three
+        snippet("alone", 0, "a", 5, 10.0, small=True), snippet("alone", 1, "b", 5, 10.0, small=True), snippet("alone", 2, "c", 5, 50.0, small=True), snippet("alone", 3, "d", 5, 1.0, small=True),
+        # 7,000 and two times 2,000 characters: the weaker support shrinks to 56 lines around its anchor, which is enough
+        snippet("shrink", 0, "t", 700, 1000.0, own=True), snippet("shrink", 1, "a", 200, 5.0, anchor=190), snippet("shrink", 2, "b", 200, 9.0),
+        # no support fits beside a target of 12,000
+        snippet("drop", 0, "t", 1200, 1000.0, own=True), snippet("drop", 1, "a", 200, 5.0),
+        ("null", 0, "x", 1, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "record string, selection int, path string, start int, content string, anchor int, base double, own boolean, small boolean")
+    got = {}
+    for r in context.final_pack(df, "record").orderBy("record", "place").collect():
+        got.setdefault(r["record"], []).append((r["path"], r["start"], len(r["content"].split("\n"))))
+    assert got == {
+        "prune": [("t", 1, 5), ("c", 1, 5), ("b", 1, 5)],
+        "alone": [("c", 1, 5), ("a", 1, 5), ("b", 1, 5)],
+        "shrink": [("t", 1, 700), ("b", 1, 200), ("a", 145, 56)],
+        "drop": [("t", 1, 1200)],
+        "null": [("x", 1, 1)],
+    }
