@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import signal as S
 from ..sources import readers, schemas, sinks
-from ..streaming.buckets import bucket_stream
+from ..streaming.buckets import bucket_stream, written
 from . import views as V
 from .common import Registry, d6, r6, scratch
 
@@ -205,10 +205,5 @@ def stream_buckets(s, d):
     """The batch bucket table from a stream of the same rows (an extension)."""
     source, out, state = scratch(s, "stream"), scratch(s, "buckets"), scratch(s, "state")
     V.tel(s, d).select("deviceId", "timedate", "t1", "x1").write.parquet(source)
-    # a last row far ahead, which no result holds, moves the watermark past all others
     stream = s.readStream.schema("deviceId string, timedate timestamp_ntz, t1 double, x1 double").parquet(source)
-    rows = bucket_stream(stream, "6h", ["t1"], "400 days")
-    name = f"b{abs(hash(out))}"
-    q = rows.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", state).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return r6(s.table(name))
+    return r6(written(bucket_stream(stream, "6h", ["t1"], "400 days"), out, state))

@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from ..functions.dates import freq_seconds
 from ..functions.nulls import flag, zsum
 
+#: States lie in RocksDB on the executors' disks, and its memory is bounded for all states of an executor.
+STATES = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
+
 
 def bucket_stream(stream: DataFrame, freq: str, columns: Sequence[str], late: str = "1 day") -> DataFrame:
     """Rows, active share, means and extremes by device and bucket; rows later than the watermark are dropped."""
@@ -19,3 +26,22 @@ def bucket_stream(stream: DataFrame, freq: str, columns: Sequence[str], late: st
     window = F.window("_t", f"{freq_seconds(freq)} seconds")
     out = stream.where(F.col("deviceId").isNotNull()).groupBy("deviceId", window.alias("_w")).agg(n.alias("n_rows"), (F.sum(flag(F.col("x1") > 0)) / n).alias("active_ratio"), *values)
     return out.select("deviceId", F.col("_w.start").cast("timestamp_ntz").alias("date"), *(c for c in out.columns if c not in ("deviceId", "_w")))
+
+
+def written(rows: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """The complete result of a stream over what its source holds now; tasks write it to ``out``, no row passes the driver."""
+    spark = rows.sparkSession
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    before = {k: spark.conf.get(k, None) for k in STATES}
+    try:  # a query copies the session's settings when it starts
+        for k, v in STATES.items():
+            spark.conf.set(k, v)
+        query = rows.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    query.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out)

@@ -323,3 +323,22 @@ def test_final_pack_prunes_shrinks_and_drops(spark):
         "drop": [("t", 1, 1200)],
         "null": [("x", 1, 1)],
     }
+
+
+def test_the_result_of_a_stream_does_not_pass_the_driver(spark, tmp_path):
+    from siltstone.plans.common import r6
+    from siltstone.plans.signal_queries import stream_buckets
+    from siltstone.streaming.buckets import STATES
+
+    # 20,000 buckets of two rows: about 2 MB, were they collected
+    spark.range(40000).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, CAST(id % 2 AS INT)) AS ts", "id div 2 AS user_id", "'click' AS event_type", "CAST(id AS DOUBLE) AS value").write.parquet(f"{tmp_path}/events.parquet")
+    before, conf = {k: spark.conf.get(k, None) for k in STATES}, spark.sparkContext._jsc.sc().conf()
+    limit = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "1m")
+    try:
+        got = stream_buckets(spark, str(tmp_path))
+        want = r6(T.time_features(views.tel(spark, str(tmp_path)), "6h", ["t1"]).select(*got.columns))
+        assert got.count() == 20000 and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    finally:
+        conf.set("spark.driver.maxResultSize", limit)
+    assert {k: spark.conf.get(k, None) for k in STATES} == before  # the session's settings are as they were
